@@ -61,7 +61,7 @@ def daily_direction_losses(rows: DataFrame, probability: str, ret: str = "ret_1d
 def block_start(seed: int, rep: Column, block: Column, n: Column) -> Column:
     """Pseudo-random start in [0, n): modular arithmetic, so any engine gives the same draw."""
     m = 2_147_483_647
-    s = (rep * 73_856_093 + block * 19_349_663 + F.lit(seed) * 83_492_791) % m
+    s = (rep * 73_856_093 + block * 19_349_663 + F.lit(seed).cast("long") * 83_492_791) % m
     s = (s * s + s * 48_271 + 12_345) % m
     s = (s * s + s * 16_807 + 1) % m
     return s % n

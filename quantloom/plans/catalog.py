@@ -1,6 +1,6 @@
 """Imports every plan module so that the registry is complete."""
 
-from quantloom.plans import features, research  # noqa: F401
+from quantloom.plans import data, features, reports, research  # noqa: F401
 from quantloom.plans.registry import ENTRIES
 
 __all__ = ["ENTRIES"]

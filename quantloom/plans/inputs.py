@@ -28,8 +28,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             "date",
             "close",
             F.round(F.col("rsi") / 100, 6).alias("score"),
-            F.round("returns", 8).alias("ret_1d"),
-            F.round(ahead, 8).alias("forward_return"),
+            F.col("returns").alias("ret_1d"),
+            ahead.alias("forward_return"),
             (ahead > 0).cast("int").alias("target"),
         )
         .filter(F.col("score").isNotNull() & F.col("forward_return").isNotNull())
@@ -48,7 +48,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         indicators(spark, sf_dir)
         .filter(F.col("rsi").isNotNull())
-        .select("ticker", "date", "close", F.round("returns", 8).alias("returns"), both.alias("_m"))
+        .select("ticker", "date", "close", "returns", both.alias("_m"))
         .select("ticker", "date", "close", "returns", "_m.model_id", "_m.probability")
         .withColumn("signal", signal(F.col("probability")))
     )

@@ -264,7 +264,7 @@ _Q = range(1, 6)
 
 
 @query("quantile_curves", "M11 D19 E22", f"""with w as (select date, {", ".join(f"coalesce(max(mean_return) filter (quantile={q}),0) as m{q}" for q in _Q)} from quantiles group by 1)
-    select date, {", ".join(f'{r(f"ln(product(1+m{q}) over o)")} as "Q{q}"' for q in _Q)} from w window o as (order by date)""")
+    select date, {", ".join(f'case when product(1+m{q}) over o>0 then {r(f"ln(product(1+m{q}) over o)")} end as "Q{q}"' for q in _Q)} from w window o as (order by date)""")
 def quantile_curves(spark, sf_dir):
     out = metrics.quantile_curves(metrics.quantile_returns(scored(spark, sf_dir)))
     return rounded(out.select("date", *[F.log(f"Q{q}").alias(f"Q{q}") for q in _Q]))
@@ -341,14 +341,20 @@ def backtest_trades(spark, sf_dir):
 view("bt_metrics", """with c as (select ticker, model_id, min(date) as start_date, max(date) as end_date, max_by(equity,date)/10000-1 as cumulative_return, count(*) as n,
       case when stddev_pop(before*asset_ret)>1e-12 then avg(before*asset_ret)/stddev_pop(before*asset_ret)*sqrt(252.0e0) else 0 end as sharpe_ratio, min(dd) as max_drawdown, avg(position_change) as turnover
       from (select *, equity/max(equity) over (partition by ticker, model_id order by date)-1 as dd from bt) t group by 1,2)
-    select c.*, coalesce(d.total_trades,0) as total_trades, coalesce(d.win_rate,0) as win_rate, power(1+cumulative_return,252.0e0/n)-1 as annualized_return from c left join
+    select c.* replace (least(c.cumulative_return,1e6) as cumulative_return), coalesce(d.total_trades,0) as total_trades, coalesce(d.win_rate,0) as win_rate, least(power(1+cumulative_return,252.0e0/n)-1,1e6) as annualized_return from c left join
     (select ticker, model_id, count(*) as total_trades, avg(cast(pnl_pct>0 as int)) as win_rate from deals group by 1,2) d using (ticker, model_id)""")
 _BT = ["cumulative_return", "sharpe_ratio", "max_drawdown", "turnover", "win_rate", "annualized_return"]
+LARGE = 1_000_000.0  # compounded figures of the synthetic bars outgrow a double's decimals; compare them up to here
+
+
+def _capped(df, columns=("cumulative_return", "annualized_return")):
+    return df.withColumns({c: F.least(F.col(c), F.lit(LARGE)) for c in columns})
+
 
 
 @query("backtest_signal_metrics", "O3", f"select ticker, model_id, start_date, end_date, total_trades, {', '.join(f'{r(c)} as {c}' for c in _BT)} from bt_metrics")
 def backtest_signal_metrics(spark, sf_dir):
-    return rounded(backtest.signal_metrics(curve(spark, sf_dir)))
+    return rounded(_capped(backtest.signal_metrics(curve(spark, sf_dir))))
 
 
 @query("backtest_drawdown", "E23 E24", f"select ticker, model_id, date, {r('equity/max(equity) over (partition by ticker, model_id order by date)-1')} as drawdown, position_change from bt")
@@ -359,7 +365,7 @@ def backtest_drawdown(spark, sf_dir):
 
 @query("backtest_mean_by_model", "D14", f"select model_id, {', '.join(f'{r(f'avg({c})')} as {c}' for c in _BT)} from bt_metrics group by 1")
 def backtest_mean_by_model(spark, sf_dir):
-    return rounded(backtest.signal_metrics(curve(spark, sf_dir)).groupBy("model_id").agg(*[F.avg(c).alias(c) for c in _BT]))
+    return rounded(_capped(backtest.signal_metrics(curve(spark, sf_dir))).groupBy("model_id").agg(*[F.avg(c).alias(c) for c in _BT]))
 
 
 @query("backtest_rollup", "D14", f"""select ticker, model_id, {r("avg(sharpe_ratio)")} as sharpe_ratio, {r("avg(turnover)")} as turnover, count(*) as n from bt_metrics group by rollup (model_id, ticker)""")
@@ -402,9 +408,9 @@ def portfolio(spark, sf_dir):
     return backtest.threshold_portfolio(outcomes(spark, sf_dir), "score", 0.6, by=["model_id"], cost_bps=2.0)
 
 
-@query("backtest_threshold_daily", "O6 O7 D1", f"select model_id, date, {', '.join(f'{r(c)} as {c}' for c in _PORT)}, {r('ln(net_curve)')} as log_net from port_dd")
+@query("backtest_threshold_daily", "O6 O7 D1", f"select model_id, date, {', '.join(f'{r(c, 8)} as {c}' for c in _PORT)}, {r('ln(net_curve)', 8)} as log_net from port_dd")
 def backtest_threshold_daily(spark, sf_dir):
-    return rounded(portfolio(spark, sf_dir).select("model_id", "date", *_PORT, F.log("net_curve").alias("log_net")))
+    return rounded(portfolio(spark, sf_dir).select("model_id", "date", *_PORT, F.log("net_curve").alias("log_net")), 8)
 
 
 @query("backtest_threshold_stats", "O7 O5", f"""select model_id, {r("avg(ret)/stddev_samp(ret)*sqrt(252.0e0)")} as sharpe_bh, {r("avg(net_ret)/stddev_samp(net_ret)*sqrt(252.0e0)")} as sharpe_strategy_net,
@@ -447,8 +453,8 @@ def backtest_topk_vs_universe_stats(spark, sf_dir):
 def _ticker_views(prefix, thresholds):
     view(f"{prefix}_a", """select * from (select *, row_number() over (partition by ticker, model_id order by date)-1 as i, count(*) over (partition by ticker, model_id) as n from scores) t where i>=floor(n*0.8e0)""")
     grid = ",".join(f"({t!r}::double)" for t in thresholds)
-    view(f"{prefix}_b", f"""select a.*, threshold, cast(probability>=threshold as int) as position, coalesce(nxt,0) as nxt from
-        (select *, lead(returns) over (partition by ticker, model_id order by date) as nxt from {prefix}_a) a, (values {grid}) g(threshold)""")
+    view(f"{prefix}_b", f"""select a.*, threshold, cast(probability>=threshold as int) as position from
+        (select *, coalesce(lead(returns) over (partition by ticker, model_id order by date),0) as nxt from {prefix}_a) a, (values {grid}) g(threshold)""")
     view(f"{prefix}_c", f"""select *, coalesce(abs(position-lag(position) over w),position) as trade, nxt*position as gross_return from {prefix}_b window w as (partition by ticker, model_id, threshold order by date)""")
     view(f"{prefix}_d", f"""select *, product(1+gross_return-trade*0.001e0) over w as cs, product(1+returns) over w as cb from {prefix}_c
         window w as (partition by ticker, model_id, threshold order by date rows between unbounded preceding and current row)""")
@@ -457,15 +463,15 @@ def _ticker_views(prefix, thresholds):
         coalesce(case when stddev_samp(gross_return-trade*0.001e0)>0 then avg(gross_return-trade*0.001e0)/stddev_samp(gross_return-trade*0.001e0)*sqrt(252.0e0) end,0) as sharpe,
         min(dd) as max_drawdown, coalesce(avg(cast(gross_return>0 as int)) filter (position=1),0) as win_rate, cast(sum(position) as bigint) as n_trades from {prefix}_e group by 1,2,3),
       a as (select *, power(1+total_return,252.0e0/n)-1 as ann_return from m)
-      select ticker, model_id, threshold, {r("total_return", 4)} as total_return, {r("ln(1+bnh_return)", 4)} as log_bnh, {r("sharpe", 3)} as sharpe, {r("max_drawdown", 4)} as max_drawdown,
-      {r("win_rate", 4)} as win_rate, n_trades, {r("ann_return", 4)} as ann_return, {r("coalesce(ann_return/nullif(abs(max_drawdown),0),0)", 3)} as calmar from a"""
+      select ticker, model_id, threshold, {r("least(total_return,1e6)", 4)} as total_return, {r("ln(1+bnh_return)", 4)} as log_bnh, {r("sharpe", 3)} as sharpe, {r("max_drawdown", 4)} as max_drawdown,
+      {r("win_rate", 4)} as win_rate, n_trades, {r("least(ann_return,1e6)", 4)} as ann_return, {r("least(coalesce(ann_return/nullif(abs(max_drawdown),0),0),1e6)", 3)} as calmar from a"""
 
 
 SWEEP = [round(0.45 + 0.02 * i, 2) for i in range(14)]
 
 
 def _ticker_result(df):
-    out = df.withColumn("log_bnh", F.log1p("bnh_return")).drop("bnh_return")
+    out = _capped(df, ["total_return", "ann_return", "calmar"]).withColumn("log_bnh", F.log1p("bnh_return")).drop("bnh_return")
     three = ["sharpe", "calmar"]
     return rounded(out, 4, skip=[*three, "threshold"]).withColumns({c: F.round(c, 3) for c in three})
 
@@ -590,7 +596,7 @@ def forecast_binary_check(spark, sf_dir):
     return rounded(forecast_probability(soft, "target", 0.6).select("ticker", "date", "soft", F.col("forecast_proba").alias("hard")))
 
 
-_STATE = "((rep*73856093+blk*19349663+42*83492791)%2147483647)"
+_STATE = "((rep*73856093+blk*19349663+42::bigint*83492791)%2147483647)"
 view("spread_series", "select model_id, net_ret-ret as x, row_number() over (partition by model_id order by date)-1 as pos from port")
 
 

@@ -79,11 +79,11 @@ from (select *, stddev_samp(returns) over w20 as volatility,
         w50 as (partition by ticker order by date rows between 49 preceding and current row),
         w200 as (partition by ticker order by date rows between 199 preceding and current row)) t""",
 )
-# scored panel: RSI as probability, next return as outcome; rounded so that order and ties agree in both engines
+# scored panel: RSI as probability, rounded so that order and ties agree in both engines; next return as outcome
 view(
     "scored",
-    f"""select * from (select ticker, date, close, {r("rsi/100")} as score, {r("returns", 8)} as ret_1d,
-        {r("lead(returns) over (partition by ticker order by date)", 8)} as forward_return,
+    f"""select * from (select ticker, date, close, {r("rsi/100")} as score, returns as ret_1d,
+        lead(returns) over (partition by ticker order by date) as forward_return,
         cast(lead(returns) over (partition by ticker order by date) > 0 as int) as target from tech) t
     where score is not null and forward_return is not null""",
 )
@@ -91,8 +91,8 @@ view(
     "scores",
     f"""select ticker, date, close, returns, model_id, probability,
        case when probability>=0.7 then 'Strong Buy' when probability>=0.55 then 'Buy' when probability>=0.45 then 'Hold' else 'Sell' end as signal
-from (select ticker, date, close, {r("returns", 8)} as returns, 'momentum' as model_id, {r("rsi/100")} as probability from tech
+from (select ticker, date, close, returns, 'momentum' as model_id, {r("rsi/100")} as probability from tech
       union all
-      select ticker, date, close, {r("returns", 8)} as returns, 'reversal' as model_id, {r("1-round(rsi/100,6)")} as probability from tech) t
+      select ticker, date, close, returns, 'reversal' as model_id, {r("1-round(rsi/100,6)")} as probability from tech) t
 where probability is not null""",
 )
