@@ -1,0 +1 @@
+"""Incremental forms of the batch operators as Structured Streaming jobs."""
