@@ -90,22 +90,32 @@ def trades(curve: DataFrame) -> DataFrame:
 
 
 def signal_metrics(curve: DataFrame, initial: float = 10_000.0, risk_free: float = 0.0) -> DataFrame:
-    """Return, Sharpe, drawdown, win rate, trades and turnover of every run (O3)."""
-    dd = curve.withColumn("_dd", drawdown("equity", RUN))
-    n = F.count(F.lit(1))
-    core = dd.groupBy(*RUN).agg(
+    """Return, Sharpe, drawdown, win rate, trades and turnover of every run (O3).
+
+    A trade is settled on its exit row against the equity carried from its entry row, so trades and curve figures
+    come from one aggregate over one partitioning.
+    """
+    w = _axis(RUN)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    position, before = F.col("position"), F.coalesce(F.lag("position", 1).over(w), F.lit(0))
+    rows = curve.withColumns({"_before": before, "_next": F.lead("date", 1).over(w), "_dd": drawdown("equity", RUN)})
+    entered = F.when((position == 1) & (F.col("_before") == 0), F.col("equity"))
+    rows = rows.withColumn("_entry", F.last(entered, ignorenulls=True).over(so_far))
+    left = ((position == 0) & (F.col("_before") == 1)) | ((position == 1) & F.col("_next").isNull())
+    rows = rows.withColumn("_pnl", F.when(left, F.coalesce(div("equity", "_entry") - 1, F.lit(0.0))))
+    out = rows.groupBy(*RUN).agg(
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
         (F.max_by("equity", "date") / initial - 1).alias("cumulative_return"),
-        n.alias("n_days"),
+        F.count(F.lit(1)).alias("_n"),
         sharpe(F.col("strategy_ret") - risk_free / TRADING_DAYS, ddof=0, on_zero=0.0, eps=1e-12).alias("sharpe_ratio"),
         F.min("_dd").alias("max_drawdown"),
         F.avg("position_change").alias("turnover"),
+        F.count("_pnl").alias("total_trades"),
+        F.coalesce(F.avg((F.col("_pnl") > 0).cast("double")), F.lit(0.0)).alias("win_rate"),
     )
-    deals = trades(curve).groupBy(*RUN).agg(F.count(F.lit(1)).alias("total_trades"), F.avg((F.col("pnl_pct") > 0).cast("double")).alias("win_rate"))
-    out = core.join(deals, list(RUN), "left").fillna(0, ["total_trades", "win_rate"])
-    annual = F.pow(1 + F.col("cumulative_return"), F.lit(float(TRADING_DAYS)) / F.col("n_days")) - 1
-    return out.withColumn("annualized_return", annual).drop("n_days")
+    annual = F.pow(1 + F.col("cumulative_return"), F.lit(float(TRADING_DAYS)) / F.col("_n")) - 1
+    return out.withColumn("annualized_return", annual).drop("_n")
 
 
 def top_k_daily(panel: DataFrame, k: int = 10, score: str = "score", ret: str = "forward_return", by: Sequence[str] = ()) -> DataFrame:

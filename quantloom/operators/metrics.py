@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.safe import div, pearson
 from quantloom.functions.vocabulary import TRADING_DAYS
 from quantloom.operators.crosssection import positions, share_down, share_up
-from quantloom.operators.ordering import MAX_GROUP_ROWS, average_ranks, running_sums, with_position
+from quantloom.operators.ordering import MAX_GROUP_ROWS, average_ranks, largest_group, running_sums, with_position
 
 
 def sharpe(x: Column | str, ddof: int = 1, periods: float = TRADING_DAYS, on_zero: float | None = None, eps: float = 0.0) -> Column:
@@ -157,25 +157,45 @@ def fraction_by_date(df: DataFrame, by: Sequence[str] = (), score: str = "score"
 
 
 def strategy_evaluation(df: DataFrame, by: Sequence[str] = (), top_frac: float = 0.2, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Eleven summary numbers of a ranking strategy (M9)."""
-    daily = fraction_by_date(df, by, top_frac=top_frac, max_group_rows=max_group_rows)
-    keys = list(by) or [F.lit(1).alias("_one")]
-    summary = daily.groupBy(*keys).agg(
+    """Eleven summary numbers of a ranking strategy (M9).
+
+    Fraction portfolio, quantile returns and both correlations need the same (group, date) rows, so they share one shuffle
+    and one aggregate per date; a second, small aggregate averages the dates.
+    """
+    if not 0.0 < top_frac < 1.0:
+        raise ValueError("top_frac must be in (0, 1)")
+    score, ret, y, keys = "score", "forward_return", "target", [*by, "date"]
+    rows = df.dropna(subset=["date", score, ret, y]).select(*keys, "ticker", score, ret, y)
+    sizes = largest_group(rows, keys)
+    rows = with_position(rows, keys, [F.col(score).desc(), F.col("ticker").asc()], "pos", "n", max_group_rows, sizes)
+    rows = average_ranks(rows, keys, {score: "_rs", ret: "_rr"}, max_group_rows, sizes=sizes)
+    r, k, q = F.col(ret), share_down(top_frac), share_up(0.2)
+    top = F.col("pos") <= k
+    enough = F.count(F.lit(1)) >= 3
+    daily = rows.groupBy(*keys).agg(
+        F.avg(F.when(top, F.col(y))).alias("precision"),
+        F.avg(F.when(top, r)).alias("portfolio"),
+        F.sum(F.when(top, (r > 0).cast("long"))).alias("wins"),
+        F.max(k).alias("k"),
+        (F.max(k) / F.max("n")).alias("fraction"),
+        F.avg(F.when(F.col("pos") <= q, r)).alias("top"),
+        F.avg(F.when(F.col("pos") > F.col("n") - q, r)).alias("bottom"),
+        F.when(enough, pearson(score, ret)).alias("ic"),
+        F.when(enough, pearson("_rs", "_rr")).alias("rank_ic"),
+    )
+    return daily.groupBy(*by).agg(
         F.avg("precision").alias("precision_at_k"),
         F.coalesce(F.stddev_samp("precision"), F.lit(0.0)).alias("precision_at_k_std"),
-        sharpe("portfolio_return").alias("sharpe"),
-        F.avg("portfolio_return").alias("average_return"),
-        (F.sum("wins") / F.sum("k_used")).alias("hit_rate"),
-        F.avg("selected_fraction").alias("avg_selected_fraction"),
+        F.avg("ic").alias("ic"),
+        F.avg("rank_ic").alias("rank_ic"),
+        F.avg("top").alias("quantile_top_return"),
+        F.avg("bottom").alias("quantile_bottom_return"),
+        (F.avg("top") - F.avg("bottom")).alias("long_short_spread"),
+        sharpe("portfolio").alias("sharpe"),
+        F.avg("portfolio").alias("average_return"),
+        (F.sum("wins") / F.sum("k")).alias("hit_rate"),
+        F.avg("fraction").alias("avg_selected_fraction"),
     )
-    ic = information_coefficients(df, by, max_group_rows=max_group_rows).withColumnsRenamed({"ic_mean": "ic", "rank_ic_mean": "rank_ic"})
-    chosen = selection_metrics(df, by, max_group_rows=max_group_rows).drop("hit_rate_top_quantile")
-    chosen = chosen.withColumnsRenamed({"top_quantile_return": "quantile_top_return", "bottom_quantile_return": "quantile_bottom_return"})
-    on = list(by)
-    if not on:
-        on, ic, chosen = ["_one"], ic.withColumn("_one", F.lit(1)), chosen.withColumn("_one", F.lit(1))
-    out = summary.join(ic, on, "left").join(chosen, on, "left")
-    return out if by else out.drop("_one")
 
 
 def quantile_returns(df: DataFrame, by: Sequence[str] = (), n_quantiles: int = 5, score: str = "score", ret: str = "forward_return", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:

@@ -42,10 +42,14 @@ def running_sums(
     sums: Mapping[str, Column | str],
     totals: Mapping[str, str] | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums ``sums`` (name -> expression) per group, and group ``totals`` (name -> sum name)."""
+    """Add inclusive running sums ``sums`` (name -> expression) per group, and group ``totals`` (name -> sum name).
+
+    ``sizes`` is ``largest_group``'s answer when the caller already has it.
+    """
     by, totals = list(by), dict(totals or {})
-    biggest, rows = largest_group(df, by)
+    biggest, rows = sizes or largest_group(df, by)
     if biggest <= max_group_rows:
         ordered = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
@@ -83,20 +87,26 @@ def with_position(
     position: str = "position",
     size: str = "group_size",
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """1-based row position in the group under ``order`` (must be a total order) and the group size."""
-    return running_sums(df, by, order, {position: F.lit(1).cast("long")}, {size: position}, max_group_rows)
+    return running_sums(df, by, order, {position: F.lit(1).cast("long")}, {size: position}, max_group_rows, sizes)
 
 
 def average_ranks(
-    df: DataFrame, by: Sequence[str], columns: Mapping[str, str], max_group_rows: int = MAX_GROUP_ROWS, pct: bool = False
+    df: DataFrame,
+    by: Sequence[str],
+    columns: Mapping[str, str],
+    max_group_rows: int = MAX_GROUP_ROWS,
+    pct: bool = False,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Average-tie ranks (``columns``: source -> output) inside each group; NULLs get no rank.
 
     ``pct`` divides by the number of non-null values, which is pandas' ``rank(pct=True)``.
     """
     by = list(by)
-    biggest, _ = largest_group(df, by)
+    biggest, _ = sizes or largest_group(df, by)
     if biggest <= max_group_rows:
         out = []
         for source, name in columns.items():

@@ -168,7 +168,7 @@ def combinatorial_purged(
         for g in range(groups):
             inside = F.col("test") & (F.col("block") == g)
             low, high = F.min(F.when(inside, i)).over(fold), F.max(F.when(inside, i)).over(fold)
-            purged = purged | F.coalesce(meets(low, high), F.lit(False))
+            purged = purged | (low.isNotNull() & meets(low, high))
     else:
         purged = meets(F.min(F.when(F.col("test"), i)).over(fold), F.max(F.when(F.col("test"), i)).over(fold))
     rows = rows.withColumn("role", F.when(F.col("test"), "test").when(~purged, "train")).filter(F.col("role").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import div, pearson
@@ -111,9 +111,12 @@ def positive_weight(df: DataFrame, y: str = "target", by: Sequence[str] = ()) ->
 
 
 def dashboard(metrics: DataFrame, baseline: str, best: str, best_sharpe: float | None) -> DataFrame:
-    """Models beside a baseline's rank-IC; the best model carries the strategy's Sharpe."""
-    floor = metrics.filter(F.col("model") == baseline).agg(F.max("rank_ic_mean").alias("f")).first()["f"]  # one value
-    beats = F.coalesce(F.col("rank_ic_mean") > F.lit(floor), F.lit(False)).cast("int")
+    """Models beside a baseline's rank-IC; the best model carries the strategy's Sharpe.
+
+    The baseline is read from the same rows (one per model), so it never differs from itself in the last bit.
+    """
+    floor = F.max(F.when(F.col("model") == baseline, F.col("rank_ic_mean"))).over(Window.partitionBy(F.lit(0)))
+    beats = F.coalesce(F.col("rank_ic_mean") > floor, F.lit(False)).cast("int")
     sharpe = F.when(F.col("model") == best, F.lit(best_sharpe)).cast("double")
     return metrics.select(
         *metrics.columns, beats.alias("beats_baseline_rank_ic"), (beats * 100.0).alias("beat_baseline_pct"), sharpe.alias("sharpe_ratio")
@@ -173,9 +176,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def best_by(df: DataFrame, metric: str, name: str) -> DataFrame:
     """Name with the highest metric and that metric; equal metrics go to the first name."""
-    best_per_name = df.groupBy(name).agg(F.max(metric).alias("m"))
-    top = best_per_name.agg(F.max("m").alias("best_value"))
-    return best_per_name.join(top, F.col("m") == F.col("best_value")).agg(F.min(name).alias("best"), F.max("best_value").alias("best_value"))
+    return df.agg(F.min_by(name, F.struct(-F.col(metric), F.col(name))).alias("best"), F.max(metric).alias("best_value"))
 
 
 def feature_split(importances: DataFrame) -> DataFrame:

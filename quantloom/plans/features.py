@@ -19,7 +19,7 @@ INDICATORS = ["returns", "volatility", "rsi", "sma_20", "sma_50", "sma_200", "bb
 
 
 # columns whose values sit on 7-decimal ties or are too large for 6 decimals
-DIGITS = {"momentum": 8, "vix_spy_ratio": 1}
+DIGITS = {"momentum": 8, "vix_level": 6, "vix_spy_ratio": 1}
 
 
 def _rounded_list(names, digits=6):
@@ -32,7 +32,7 @@ def _rounded(df, digits=6):
     return out.withColumns({c: F.round(c, DIGITS[c]) for c in special}) if special else out
 
 
-@query("tech_indicators", "E1 E2 E3 E6 E7 E8", f"select ticker, date, {_rounded_list(INDICATORS)} from tech")
+@query("tech_indicators", "E1 E2 E3 E6 E7 E8 H9", f"select ticker, date, {_rounded_list(INDICATORS)} from tech")
 def tech_indicators(spark, sf_dir):
     return _rounded(indicators(spark, sf_dir).select("ticker", "date", *INDICATORS))
 

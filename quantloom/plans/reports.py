@@ -116,9 +116,10 @@ def queue_health(spark, sf_dir):
 
 
 @query("queue_summary", "D13", f"""select queued+running as queue_depth, {r("failed*1.0e0/(failed+completed)", 4)} as failure_rate, dead_letter, stale_running,
-    list_filter([case when stale_running>0 then 'stale_running_jobs' end, case when dead_letter>0 then 'dead_letter_jobs' end], lambda x: x is not null) as unhealthy_reasons from health""")
+    concat_ws(',', case when stale_running>0 then 'stale_running_jobs' end, case when dead_letter>0 then 'dead_letter_jobs' end) as unhealthy_reasons from health""")
 def queue_summary(spark, sf_dir):
-    return runs.health_summary(runs.queue_health(tables.job_runs(spark, sf_dir), now(), 864_000))
+    out = runs.health_summary(runs.queue_health(tables.job_runs(spark, sf_dir), now(), 864_000))
+    return out.withColumn("unhealthy_reasons", F.concat_ws(",", "unhealthy_reasons"))
 
 
 @query("requeue_decisions", "T6", f"""select run_id, attempt_count, case when attempt_count>=max_attempts then 'failed' else 'queued' end as new_status,

@@ -83,7 +83,7 @@ def cv_purged_horizon(spark, sf_dir):
 view("blocks", "select a.*, g as block from axis a, generate_series(0,7) t(g) where i>=floor(g*(n/8.0e0)) and i<case when g=7 then n else floor((g+1)*(n/8.0e0)) end")
 
 
-@query("cv_blocks", "L8", "select block, min(date) as lo, max(date) as hi, count(*) as n from blocks group by 1")
+@query("cv_blocks", "L8", "select cast(block as int) as block, min(date) as lo, max(date) as hi, count(*) as n from blocks group by 1")
 def cv_blocks(spark, sf_dir):
     out = splits.block_ranges(splits.date_axis(bar_dates(spark, sf_dir)), 8)
     return out.groupBy("block").agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -389,7 +389,8 @@ def backtest_topk_daily(spark, sf_dir):
 @query("backtest_topk_summary", "O4", f"""with d as (select date, lead(date) over (order by date) as nxt from (select distinct date from held) t),
     u as (select h.date, 1-count(p.ticker)*1.0e0/count(*) as turnover from held h left join (select d.nxt as date, ticker from held join d using (date)) p on p.date=h.date and p.ticker=h.ticker group by 1)
     select {r("avg(top_ret)")} as topk_mean_return, {r("avg(bottom_ret)")} as bottomk_mean_return, {r("avg(long_short_ret)")} as long_short_mean_return,
-    {r("avg(long_short_ret)/stddev_pop(long_short_ret)*sqrt(252.0e0)")} as long_short_sharpe, {r("avg(top_ret)/stddev_pop(top_ret)*sqrt(252.0e0)")} as long_only_sharpe,
+    case when stddev_pop(long_short_ret)>1e-12 then {r("avg(long_short_ret)/stddev_pop(long_short_ret)*sqrt(252.0e0)")} else 0 end as long_short_sharpe,
+    case when stddev_pop(top_ret)>1e-12 then {r("avg(top_ret)/stddev_pop(top_ret)*sqrt(252.0e0)")} else 0 end as long_only_sharpe,
     {r("(select avg(turnover) from u)")} as turnover from topk_daily""")
 def backtest_topk_summary(spark, sf_dir):
     return rounded(backtest.top_k_summary(scored(spark, sf_dir), 10))
@@ -436,10 +437,10 @@ view("tku", """select date, avg(ret_1d) as ret, avg(cast(k<=10 as int)) as selec
 
 
 @query("backtest_topk_vs_universe", "O9 C13 F6", f"""select date, {r("ret")} as ret, {r("selected")} as selected, {r("topk_ret")} as topk_ret,
-    {r("coalesce(abs(selected-lag(selected) over (order by date)),selected)")} as selected_share_turnover, {r("ln(product(1+topk_ret) over (order by date))")} as log_topk from tku""")
+    {r("coalesce(abs(selected-lag(selected) over (order by date)),selected)")} as selected_share_turnover, least({r("ln(product(1+topk_ret) over (order by date))")},700) as log_topk from tku""")
 def backtest_topk_vs_universe(spark, sf_dir):
     out = backtest.top_k_vs_universe(scored(spark, sf_dir), 10)
-    return rounded(out.select("date", "ret", "selected", "topk_ret", "selected_share_turnover", F.log("curve_topk").alias("log_topk")))
+    return rounded(out.select("date", "ret", "selected", "topk_ret", "selected_share_turnover", F.least(F.log("curve_topk"), F.lit(700.0)).alias("log_topk")))
 
 
 @query("backtest_topk_vs_universe_stats", "O9", f"""select {r("avg(topk_ret)/stddev_samp(topk_ret)*sqrt(252.0e0)")} as topk_sharpe, {r("avg(ret)/stddev_samp(ret)*sqrt(252.0e0)")} as universe_sharpe,
