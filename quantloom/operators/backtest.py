@@ -169,11 +169,15 @@ def portfolio_stats(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def top_k_vs_universe(rows: DataFrame, k: int = 10, by: Sequence[str] = (), ret: str = "ret_1d", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Daily top-k and universe returns with curves; turnover is the change of the selected share."""
+    """Daily top-k and universe returns with curves; turnover is the change of the selected share.
+
+    ``covers_universe`` marks dates on which k reached the whole cross-section, where top-k and universe are the same.
+    """
     marked = selected_flag(rows.dropna(subset=["date", "ticker", ret, "score"]), k, [*by, "date"], max_group_rows)
     daily = marked.groupBy(*by, "date").agg(
         F.avg(ret).alias("ret"),
         F.avg("selected").alias("selected"),
+        (F.min("selected") >= 1).alias("covers_universe"),
         F.coalesce(F.avg(F.when(F.col("selected") > 0, F.col(ret))), F.lit(0.0)).alias("topk_ret"),
     )
     return daily.select(

@@ -54,11 +54,13 @@ def attach_macro(panel: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def sector_lookup(tickers: DataFrame, sector_map: DataFrame, available: DataFrame, fallback: str = "SPY") -> DataFrame:
-    """Ticker to sector symbol; unknown or unavailable symbols fall back."""
-    known = available.select(F.col("symbol").alias("sector_symbol")).distinct().withColumn("_ok", F.lit(True))
-    mapped = tickers.join(sector_map.select("ticker", "sector_symbol"), "ticker", "left").join(known, "sector_symbol", "left")
-    chosen = F.when(F.col("_ok"), F.col("sector_symbol")).otherwise(F.lit(fallback))
-    return mapped.withColumn("sector_symbol", chosen).drop("_ok")
+    """Ticker to sector symbol; unknown or unavailable symbols fall back.
+
+    Availability is settled on the ticker dimension, so the rows meet it once, on ticker, and never shuffle on the few symbols.
+    """
+    known = available.select(F.col("symbol").alias("sector_symbol")).distinct()
+    usable = sector_map.select("ticker", "sector_symbol").join(known, "sector_symbol", "left_semi")
+    return tickers.join(usable, "ticker", "left").withColumn("sector_symbol", F.coalesce("sector_symbol", F.lit(fallback)))
 
 
 def sector_features(panel: DataFrame, sector_map: DataFrame, series: DataFrame) -> DataFrame:

@@ -19,7 +19,9 @@ from quantloom.operators.metrics import classification, ranking_quality
 from quantloom.plans.features import scored_news
 from quantloom.plans.registry import query, r
 from quantloom.session import scratch_path
+from quantloom.plans import workflows
 from quantloom.sources import tables
+from quantloom.sources.store import SliceStore
 
 LIGHT = {"maxIter": 5, "numTrees": 10, "maxDepth": 4}
 _stored: dict[tuple[str, str], DataFrame] = {}
@@ -188,3 +190,32 @@ def tree_attributions(spark, sf_dir):
 def fold_auc(spark, sf_dir):
     rows = training_panel(spark, sf_dir)
     return research.fold_auc(rows, splits.time_series_split(rows, 3, gap=5), light("model_a"))
+
+
+@query("refresh_workflow", "T8 A14 A19", """select 'nightly' as run_id, ticker, 'completed' as status, count(*) as rows, max(date) as last_date from event_bars group by 2""")
+def refresh_workflow(spark, sf_dir):
+    bars = tables.event_bars(spark, sf_dir)
+    s = SliceStore(spark, scratch_path(spark, "refresh"), buckets=8)
+    tickers = bars.select("ticker").distinct()
+    snapshot = tickers.withColumn("EPS", F.lit("1.5"))
+    lineage = workflows.refresh(s, tickers, bars, snapshot, scored_news(spark, sf_dir), "nightly")
+    return lineage.drop("error")
+
+
+@query("backtest_fitted_models", "O14 B6 B11")
+def backtest_fitted_models(spark, sf_dir):
+    part = roles(spark, sf_dir)
+    models = {m: training.fit(light(m), part["train"]) for m in ("baseline_lr", "model_c")}
+    return workflows.backtest_models(part["test"], tables.bars(spark, sf_dir), models)[1]
+
+
+@query("research_run", "A17 D18 N25 N13 N18 P1 P3")
+def research_run(spark, sf_dir):
+    """The whole holdout study with light models; its tables are written as CSV, the model dashboard is returned."""
+    forest = FOREST.with_features(TECHNICAL).with_settings(**LIGHT)
+    models = {"logreg_baseline": light("baseline_lr"), "random_forest": forest}
+    groups = {k: STRATEGY_GROUPS[k] for k in ("technical_only", "fundamental_strategy")}
+    results = workflows.research_run(training_panel(spark, sf_dir), models=models, primary=forest, meta=META.with_settings(**LIGHT), groups=groups, bootstrap=50)
+    folder = scratch_path(spark, "study")
+    workflows.write_results(results, folder)
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/dashboard")

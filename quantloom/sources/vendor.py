@@ -88,7 +88,7 @@ def parse_quote(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 # shapes of the three news payloads
-_FEED = "array<struct<headline:string,source:string,url:string,datetime:bigint,summary:string>>"
+_FEED = "array<struct<headline:string,source:string,url:string,datetime:double,summary:string>>"
 _ARTICLES = "struct<articles:array<struct<title:string,source:struct<name:string>,url:string,publishedAt:string,description:string>>>"
 _CONTENT = "array<struct<content:struct<title:string,summary:string,provider:struct<displayName:string>,canonicalUrl:struct<url:string>,pubDate:string>>>"
 
