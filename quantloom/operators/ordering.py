@@ -19,6 +19,8 @@ from quantloom.functions.safe import col
 from quantloom.session import shared_dir
 
 MAX_GROUP_ROWS = 4_000_000
+NARROW_ABOVE = 50_000_000
+_ACCURACY = 10_000  # of the approximate brackets of exact quantiles
 _BLOCK = "_order_block"
 
 
@@ -145,26 +147,59 @@ def exact_quantiles(
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
     max_group_rows: int = MAX_GROUP_ROWS,
+    narrow_above: int = NARROW_ABOVE,
 ) -> DataFrame:
     """Linearly interpolated exact quantiles, one row per (group, feature).
 
     Works on distinct values with their counts, so memory does not depend on the column's size, which
-    the built-in ``percentile`` aggregate cannot promise.
+    the built-in ``percentile`` aggregate cannot promise. Ungrouped columns above ``narrow_above`` rows first get an approximate
+    bracket per quantile; only values inside the brackets are then shuffled.
     """
     by = list(by)
+    if not by and df.count() > narrow_above:
+        found = _bracketed_quantiles(df, columns, probabilities, max_group_rows)
+        if found is not None:
+            return found
     long = df.select(
         *by,
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_x"),
     ).select(*by, "_x.feature", "_x.value")
     counts = long.filter(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("_c"))
     cum = running_sums(counts, [*by, "feature"], [F.col("value").asc()], {"_cum": F.col("_c")}, {"_n": "_cum"}, max_group_rows)
-    start = F.col("_cum") - F.col("_c")
-    out = []
-    for name, p in probabilities.items():
-        spot = F.lit(float(p)) * (F.col("_n") - 1)
-        low, high = F.floor(spot), F.ceil(spot)
-        at_low = F.max(F.when((start <= low) & (low < F.col("_cum")), F.col("value")))
-        at_high = F.max(F.when((start <= high) & (high < F.col("_cum")), F.col("value")))
-        share = F.max(spot - F.floor(spot))
-        out.append((at_low + (at_high - at_low) * share).alias(name))
+    out = [_interpolated(F.lit(float(p)) * (F.col("_n") - 1)).alias(name) for name, p in probabilities.items()]
     return cum.groupBy(*by, "feature").agg(*out)
+
+
+def _interpolated(spot: Column) -> Column:
+    """Value at the 0-based fractional rank ``spot`` among rows of distinct values with inclusive counts ``_cum``."""
+    start = F.col("_cum") - F.col("_c")
+    low, high = F.floor(spot), F.ceil(spot)
+    at_low = F.max(F.when((start <= low) & (low < F.col("_cum")), F.col("value")))
+    at_high = F.max(F.when((start <= high) & (high < F.col("_cum")), F.col("value")))
+    return at_low + (at_high - at_low) * F.max(spot - F.floor(spot))
+
+
+def _bracketed_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float], max_group_rows: int) -> DataFrame | None:
+    """Exact quantiles from the values inside approximate brackets; None when a bracket missed its rank."""
+    slack = 2.0 / _ACCURACY
+    ends = [x for p in probabilities.values() for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    rough = df.agg(*[F.percentile_approx(F.col(c).cast("double"), ends, _ACCURACY).alias(c) for c in columns]).first()  # one row
+    jobs = [(c, name, p, rough[c][2 * i], rough[c][2 * i + 1]) for c in columns if rough[c] for i, (name, p) in enumerate(probabilities.items())]
+    value = lambda c: F.col(c).cast("double")
+    tallies = df.agg(
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.sum((value(c) < lo).cast("long")).alias(f"below_{k}") for k, (c, _, _, lo, _) in enumerate(jobs)],
+        *[F.sum((value(c) <= hi).cast("long")).alias(f"upto_{k}") for k, (c, _, _, _, hi) in enumerate(jobs)],
+    ).first()  # one row
+    plan = []
+    for k, (c, name, p, _, _) in enumerate(jobs):
+        spot = p * (tallies[f"n_{c}"] - 1)
+        if not tallies[f"below_{k}"] <= int(spot) or not -(-spot // 1) < tallies[f"upto_{k}"]:
+            return None
+        plan.append((k, c, name, spot - tallies[f"below_{k}"]))
+    inside = [F.when((value(c) >= lo) & (value(c) <= hi), F.struct(F.lit(k).alias("job"), value(c).alias("value"))) for k, (c, _, _, lo, hi) in enumerate(jobs)]
+    kept = df.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("job", "value").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sums(kept, ["job"], [F.col("value").asc()], {"_cum": F.col("_c")}, max_group_rows=max_group_rows)
+    spots = df.sparkSession.createDataFrame(plan, "job int, feature string, name string, spot double")
+    solved = cum.join(spots, "job").groupBy("feature", "name").agg(_interpolated(F.col("spot")).alias("v"))
+    return solved.groupBy("feature").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in probabilities])

@@ -23,7 +23,7 @@ from quantloom.plans import workflows
 from quantloom.sources import tables
 from quantloom.sources.store import SliceStore
 
-LIGHT = {"maxIter": 5, "numTrees": 10, "maxDepth": 4}
+LIGHT = {"maxIter": 3, "numTrees": 5, "maxDepth": 3}
 _stored: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -41,9 +41,11 @@ def training_panel(spark, sf_dir) -> DataFrame:
 
 
 def roles(spark, sf_dir) -> dict[str, DataFrame]:
-    rows = training_panel(spark, sf_dir)
-    split = splits.chronological(rows)
-    marked = rows.join(split, "date")
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#roles")
+    if key not in _stored:
+        rows = training_panel(spark, sf_dir)
+        _stored[key] = training.stored(rows.join(splits.chronological(rows), "date"), "roles")
+    marked = _stored[key]
     return {role: marked.filter(F.col("role") == role).drop("role") for role in ("train", "validation", "test")}
 
 
@@ -145,6 +147,14 @@ def meta_gated_backtest(spark, sf_dir):
     return daily_portfolio(research.gate(test, 0.5), "signal_meta").select("date", "ret", "gross_ret", "signal", "net_ret")
 
 
+@query("meta_gate", "N19", "select ticker, date, cast(score>=0.5 and round(1-ret_1d,6)>=0.55 as int)*1.0e0 as signal_meta from scored")
+def meta_gate(spark, sf_dir):
+    from quantloom.plans.inputs import scored
+
+    rows = scored(spark, sf_dir).select("ticker", "date", F.col("score").alias("proba_primary"), F.round(1 - F.col("ret_1d"), 6).alias("proba_meta"))
+    return research.gate(rows, 0.5).select("ticker", "date", "signal_meta")
+
+
 @query("saved_model_scores", "N20")
 def saved_model_scores(spark, sf_dir):
     part = roles(spark, sf_dir)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.session import require_utc
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -52,7 +55,13 @@ def query(name: str, ids: str, sql: str | None = None) -> Callable[[Query], Quer
     def register(fn: Query) -> Query:
         if name in ENTRIES:
             raise ValueError(f"query {name} registered twice")
-        ENTRIES[name] = Entry(name, tuple(ids.split()), fn, _with_views(sql) if sql else None)
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            require_utc(spark)
+            return fn(spark, sf_dir)
+
+        ENTRIES[name] = Entry(name, tuple(ids.split()), run, _with_views(sql) if sql else None)
         return fn
 
     return register

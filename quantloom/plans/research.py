@@ -420,7 +420,7 @@ def backtest_threshold_stats(spark, sf_dir):
     return rounded(backtest.portfolio_stats(portfolio(spark, sf_dir), ["model_id"]))
 
 
-@query("backtest_from_signal", "O8 N19", f"""with s as (select date, avg(ret_1d) as ret, avg(g*ret_1d) as gross_ret, avg(g) as signal from (select *, cast(score>=0.55 and ret_1d<=0.5 as int)*1.0e0 as g from scored) t group by 1)
+@query("backtest_from_signal", "O8", f"""with s as (select date, avg(ret_1d) as ret, avg(g*ret_1d) as gross_ret, avg(g) as signal from (select *, cast(score>=0.55 and ret_1d<=0.5 as int)*1.0e0 as g from scored) t group by 1)
     select date, {r("ret")} as ret, {r("gross_ret")} as gross_ret, {r("signal")} as signal, {r("gross_ret-abs(signal-coalesce(lag(signal) over (order by date),0))*0.0005e0")} as net_ret from s""")
 def backtest_from_signal(spark, sf_dir):
     gated = scored(spark, sf_dir).withColumn("gate", ((F.col("score") >= 0.55) & (F.col("ret_1d") <= 0.5)).cast("double"))

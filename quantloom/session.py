@@ -28,6 +28,12 @@ def build_session(master: str | None = None, app: str = "quantloom", **extra: st
     return builder.getOrCreate()
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Days are UTC days; a session in another zone would shift them."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

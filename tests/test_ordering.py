@@ -67,6 +67,15 @@ def test_exact_quantiles(skewed, limit):
         assert np.allclose(got[g], [part["x"].quantile(0.01), part["x"].quantile(0.5)])
 
 
+@pytest.mark.parametrize("narrow", [10**9, 100])
+def test_quantiles_from_brackets(spark, narrow):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.normal(0, 1, 60_000), "b": np.where(rng.random(60_000) < 0.4, 1.0, rng.random(60_000))})
+    got = {r["feature"]: r for r in exact_quantiles(spark.createDataFrame(pdf), ["a", "b"], {"lo": 0.01, "mid": 0.5, "hi": 0.99}, narrow_above=narrow).collect()}
+    for c in pdf:
+        assert np.allclose([got[c]["lo"], got[c]["mid"], got[c]["hi"]], pdf[c].quantile([0.01, 0.5, 0.99]), atol=0, rtol=1e-14)
+
+
 def test_metrics_do_not_depend_on_the_way(spark, skewed):
     df, _ = skewed
     labelled = df.withColumn("target", (F.col("v") > 4).cast("int"))
