@@ -19,7 +19,7 @@ from quantloom.functions.safe import col
 from quantloom.session import shared_dir
 
 MAX_GROUP_ROWS = 4_000_000
-NARROW_ABOVE = 50_000_000
+NARROW_ABOVE = 1_000_000
 _ACCURACY = 10_000  # of the approximate brackets of exact quantiles
 _BLOCK = "_order_block"
 
@@ -120,7 +120,10 @@ def average_ranks(
                 rank = rank / F.count(value).over(Window.partitionBy(*by))
             out.append(F.when(value.isNotNull(), rank).alias(name))
         return df.select("*", *out)
-    # ties share one rank, so rank distinct values: hot values collapse before the shuffle
+    # ties share one rank, so rank distinct values: hot values collapse before the shuffle. The ranks return to the rows by
+    # value, so both sides must see the same doubles: computed once, not once per side
+    shared_dir(df.sparkSession)
+    df = df.checkpoint()
     sources = list(columns)
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("_f"), F.col(s).cast("double").alias("_v")) for s in sources])).alias("_x"))
     counts = (
@@ -180,7 +183,12 @@ def _interpolated(spot: Column) -> Column:
 
 
 def _bracketed_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float], max_group_rows: int) -> DataFrame | None:
-    """Exact quantiles from the values inside approximate brackets; None when a bracket missed its rank."""
+    """Exact quantiles from the values inside approximate brackets; None when a bracket missed its rank.
+
+    The columns are checkpointed, so the three passes count the same values.
+    """
+    shared_dir(df.sparkSession)
+    df = df.select(*columns).checkpoint()
     slack = 2.0 / _ACCURACY
     ends = [x for p in probabilities.values() for x in (max(0.0, p - slack), min(1.0, p + slack))]
     rough = df.agg(*[F.percentile_approx(F.col(c).cast("double"), ends, _ACCURACY).alias(c) for c in columns]).first()  # one row
