@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.safe import clip, div, log_loss
+from quantloom.functions.safe import clip, log_loss
 from quantloom.functions.tails import normal_sf
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators.projections import signal
-from quantloom.operators.technical import by_date, base_indicators
+from quantloom.operators.technical import base_indicators, by_date
 from quantloom.sources import tables
 
 # words that occur in the generated prose, standing in for a finance lexicon
