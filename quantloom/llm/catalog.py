@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import language, neardup, topk
+from quantloom.llm import language, licences, neardup, private, topk, urls
 from quantloom.llm.common import crc_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,27 @@ select e.vec_id, coalesce(n.n, 0) as n_links, c.c as component_id, e.vec_id = c.
 left join (select a, count(*) as n from l group by a) n on n.a = e.vec_id
 join (select a, min(b) as c from reach group by a) c on c.a = e.vec_id
 """
+
+
+@query
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+ORACLE["op4_licence_scan"] = licences.oracle()
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("blocked"))
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES).drop("url", "confidence")
+
+
+@query
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private.find(docs, private.fit(docs))
+    count = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in private.KINDS], F.sha2(private.listing("_base"), 256).alias("base_sha256"), private.listing("_spans").alias("spans"))
