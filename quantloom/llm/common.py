@@ -103,6 +103,13 @@ def copies(df: DataFrame, key: Sequence[str], ident: str, salts: int = 32) -> Da
     return salted.join(back, [*key, "_salt"]).drop("_salt")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, ident: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join ``rows`` with a ``table`` of one row per key; a key with a third of all rows is dealt over ``salts`` partitions."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)))
+    wide = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+    return salted.join(wide, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, name: str = "components", limit: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 

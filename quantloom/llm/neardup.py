@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import components, copies, stored
+from quantloom.llm.common import components, copies, spread_join, stored
 from quantloom.llm.topk import vectors
 
 TILE = 1024
@@ -214,8 +214,6 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.95, ident: str = "vec_
         .join(roots, F.col("class_id") == F.col("node"), "left")
         .select("class_id", (F.coalesce("n", F.lit(0)) + F.col("class_size") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"))
     )
-    salt = F.pmod(F.xxhash64("id"), F.lit(32)).alias("_salt")  # a class may hold a third of all rows
-    spread = by_class.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("_salt"))
-    out = members.select("id", "class_id", salt).join(spread, ["class_id", "_salt"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    out = spread_join(members.select("id", "class_id"), by_class, "class_id", "id").select(F.col("id").alias("vec_id"), "n_links", "component_id")
     alone = rows.filter(~F.coalesce(usable, F.lit(False))).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
