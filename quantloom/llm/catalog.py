@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, jaccard, language, licences, neardup, packing, private, topk, urls
+from quantloom.llm import bpe, jaccard, language, licences, maxent, neardup, packing, private, topk, urls
 from quantloom.llm.common import crc_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.coalesce(F.pmod(crc_of("doc_id"), F.lit(5)) != 1, F.lit(False))
+    return maxent.score(table(spark, sf_dir, "documents"), learn, held_out(1, 5))
