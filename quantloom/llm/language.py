@@ -194,6 +194,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
     return annotate(docs, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())], make)
 
 
-def accepted(found: DataFrame, min_score: float = 0.3, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Rows with a language: not ``und``, and a share above what chance gives."""
-    return found.filter((F.col(pred) != "und") & (F.col(score) >= min_score))
+def accepted(found: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Rows whose language was found: not ``und``, and some n-gram of it in the text."""
+    return found.filter((F.col(pred) != "und") & (F.col(score) > 0))

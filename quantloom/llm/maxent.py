@@ -31,7 +31,7 @@ CLASSES, SINGLE = 32, 16
 WORD_ROWS, PAIR_ROWS, RANKED = 4096, 8192, 3072
 ROWS = 3 * WORD_ROWS + PAIR_ROWS
 HEAD = 1 << 20
-ROUNDS, SMOOTH, STEP_LIMIT = 3, 4.0, 1.0
+ROUNDS, SMOOTH, STEP_LIMIT = 3, 100.0, 1.0
 END = np.uint64(0x5EED0E4D)
 BUCKET_BYTES = 32 << 20
 FLUSH = 3_000_000
@@ -259,7 +259,7 @@ def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> tuple[np.ndarr
         seen, hoped = _gradient(rows.filter(F.pmod("part", F.lit(rounds)) == k).select("text"), shared, model)
         prior = SMOOTH * np.exp(bias)
         if weights is None:  # a first step from zero, in closed form
-            weights = 0.5 * np.log((seen + prior) / (hoped + prior))
+            weights = 0.4 * np.log((seen + prior) / (hoped + prior))
         else:
             weights += np.clip((seen - hoped) / (4 * (hoped + prior)), -STEP_LIMIT, STEP_LIMIT)
         model.unpersist()
