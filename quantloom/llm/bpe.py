@@ -25,7 +25,7 @@ from quantloom.llm.common import slices, text_bytes
 from quantloom.llm.pieces import coder
 
 WINDOW, MEAN_BITS = 16, 10  # bytes of the rolling hash; a chunk is about 2 ** MEAN_BITS bytes
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, np.ndarray] = {}
 _TABLES: dict[str, dict] = {}
@@ -88,7 +88,7 @@ class ChunkCoder:
             texts.append(data)
             plans.append((keys, chunks))
         want = set().union(*[c.split(" ")[1:-1] for c in fresh.values()]) if fresh else set()
-        self.words.learn(want) if len(self.words.memo) + len(want) > self.words.limit else self.words.learn(want.difference(self.words.memo))
+        self.words.learn(want.difference(self.words.memo))
         for k, c in fresh.items():
             self.table[k] = self._entry(c)
             self.bytes += 3 * len(c) + 300

@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 
-MEMO = 700_000  # pieces a Python worker remembers, each a word long; cleared when full
+MEMO = 300_000  # pieces a Python worker remembers; cleared when full
 LONG = 64  # pieces above so many characters are not remembered
+SEEN = 1 << 23  # flags of the filter that tells pieces met before from new ones; only those are remembered
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _CODERS: dict[tuple, object] = {}
 
@@ -36,6 +37,8 @@ class PieceCoder:
         self.spaced, self.limit = spaced, memo
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes | None] = {}
+        self.met = bytearray(SEEN)
+        self.passing: list[str] = []  # in the memo for the present slice only
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -43,9 +46,13 @@ class PieceCoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not in the memo. A piece that touches other white space is marked None when spaces matter."""
-        if len(self.memo) + len(pieces) > self.limit:
-            self.memo.clear()
         todo = [p for p in pieces if p not in self.memo]
+        met = self.met
+        for p in todo:
+            at = hash(p) & (SEEN - 1)
+            if not met[at] or len(p) > LONG:
+                met[at] = 1
+                self.passing.append(p)
         if self.spaced:
             bad = [p for p in todo if not p or p[0].isspace() or p[-1].isspace()]
             self.memo.update(dict.fromkeys(bad))
@@ -59,9 +66,7 @@ class PieceCoder:
         want: set[str] = set()
         for c in cut:
             want.update(c[1:] if self.spaced else c)
-        fresh = want.difference(memo)
-        if fresh:
-            self.learn(fresh if len(memo) + len(fresh) <= self.limit else want)
+        self.learn(want.difference(memo))
         heads = self.direct([c[0] for c in cut]) if self.spaced else None
         out = []
         for i, (t, c) in enumerate(zip(texts, cut, strict=True)):
@@ -81,6 +86,10 @@ class PieceCoder:
         return b"".join(self.direct([first, *(" " + p for p in rest)]))
 
     def forget(self) -> None:
+        """Keep only pieces met before, and not too many."""
+        for p in self.passing:
+            self.memo.pop(p, None)
+        self.passing = []
         if len(self.memo) > self.limit:
             self.memo.clear()
 
