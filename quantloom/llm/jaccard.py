@@ -30,8 +30,8 @@ from quantloom.llm.common import components, copies, slices, spread_join, stored
 from quantloom.llm.words import shingles, word_hashes
 
 SHARE = 0.4  # of the hash range that every class posts
-BUCKET_BYTES = 32 << 20  # of text for each bucket of the hash range
-FLUSH = 1_500_000  # postings a task gathers before it hands over
+BUCKET_BYTES = 20 << 20  # of text for each bucket of the hash range
+FLUSH = 1_000_000  # postings a task gathers before it hands over
 LIST_BLOCK = 512
 PAIRS = 2000  # that one group compares
 
@@ -89,7 +89,7 @@ def _post(rows: DataFrame, width: int, percent: int, buckets: int, share: float)
                     seen.add(c)
                     cls.append(c)
                     sizes.append(len(one))
-                    posted.append(one[: max(int(np.searchsorted(one, limit)), prefix_length(len(one), percent))])
+                    posted.append(one[: max(int(np.searchsorted(one, limit)), prefix_length(len(one), percent))].copy())
                     total += len(posted[-1])
                 if total >= FLUSH or len(docs) >= FLUSH:
                     yield flush(cls, sizes, posted, docs, turn)
@@ -246,7 +246,7 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", pe
     both = stored(_count(_post(rows, width, percent, buckets, share), buckets, share), "jaccard-counted")
     members = _documents(both.filter("g = -1"))
     prefixes = stored(_prefixes(both.filter("g >= 0"), percent, share), "jaccard-prefixes")
-    lists = prefixes.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"))
+    lists = prefixes.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "size", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"))
     led = stored(prefixes.join(lists, "key"), "jaccard-lists")
     alive = led.select("cls").distinct()
     reps = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(alive, "cls")
@@ -262,10 +262,12 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", pe
     answers = _overlaps(first, words)
     links = answers.filter(_linked(percent)).select("a", "b")
     roots = components(links, "jaccard-components")
-    placed = led.join(roots, led.cls == roots.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+    # the leader's own pairs are answered, so only lists with two others in different components have anything left
+    others = led.filter("size > 2 and cls <> lead")
+    placed = others.join(roots, others.cls == roots.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
     many = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     known = answers.select(F.col("a").alias("lead"), F.col("b").alias("cls"), F.col("both").alias("over"))
-    open_lists = placed.join(many, "key").join(known, ["lead", "cls"], "left").withColumn("over", F.coalesce("over", F.when(F.col("cls") == F.col("lead"), F.col("n"))))
+    open_lists = placed.join(many, "key").join(known, ["lead", "cls"], "left")
     rest = stored(_rest(open_lists, percent), "jaccard-rest")
     more = _overlaps(rest.filter("not sure").select("a", "b"), words).filter(_linked(percent)).select("a", "b")
     roots = components(links.unionByName(more).unionByName(rest.filter("sure").select("a", "b")), "jaccard-components")

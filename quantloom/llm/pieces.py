@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-MEMO = 300_000  # pieces a Python worker remembers; cleared when full
+MEMO = 450_000  # pieces a Python worker remembers; cleared when full
 LONG = 64  # pieces above so many characters are not remembered
 SEEN = 1 << 23  # flags of the filter that tells pieces met before from new ones; only those are remembered
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
