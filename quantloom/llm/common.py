@@ -110,6 +110,23 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, ident: str, how: st
     return salted.join(wide, [key, "_salt"], how).drop("_salt")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star per connected part of the links a - b: (node, smallest node)."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inv[: len(a)], inv[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return nodes, nodes[label]
+
+
 def components(edges: DataFrame, name: str = "components", limit: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 

@@ -6,7 +6,7 @@
    A class whose prefix holds only shingles of its own has no partner and is done; usually these are nearly all.
 3. Each list (a prefix shingle with its classes) has a leader, its smallest class. Every class is compared with the leaders of its
    lists, exactly, on whole sets. Their links give first components; a list inside one component has nothing left to find.
-4. The remaining lists are cut into blocks by set size. Block pairs whose sizes or positions cannot reach the threshold are skipped whole; inside the others the
+4. The classes that share a leader and are not yet in one component are blocked by set size. Block pairs whose sizes cannot reach the threshold are skipped whole; inside the others the
    answer of a pair is derived from the answers already computed against the common leader: with overlaps p and q with a leader of size l, the
    pair shares at least p + q - l and at most min(p, q) + min(m - p, n - q) shingles. Only pairs that neither bound decides are compared on their sets.
 
@@ -23,16 +23,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import components, copies, slices, spread_join, stored, text_bytes
+from quantloom.llm.common import components, forest, slices, spread_join, stored, text_bytes
 from quantloom.llm.words import shingles, word_hashes
 
 SHARE = 0.4  # of the hash range that every class posts
 BUCKET_BYTES = 20 << 20  # of text for each bucket of the hash range
 FLUSH = 1_000_000  # postings a task gathers before it hands over
-LIST_BLOCK = 512
+LIST_BLOCK = 256
 PAIRS = 2000  # that one group compares
 
 
@@ -207,34 +207,60 @@ def _linked(percent: int):
     return F.expr(f"100 * both >= {percent} * (na + nb - both)")
 
 
-def _rest(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that their common leader does not decide: (a, b, known link). Input: (key, cls, n, pos, comp, lead_n, over)."""
-    sized = lists.withColumn("blk", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "cls")) - 1) / LIST_BLOCK))
-    names = ("cls", "n", "pos", "comp", "over", "lead_n")
-    blocks = stored(sized.groupBy("key", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos_low"), *[F.collect_list(F.coalesce(c, F.lit(-1))).alias(c) for c in names]), "jaccard-blocks")
-    other = blocks.select("key", *[F.col(c).alias(f"b_{c}") for c in blocks.columns if c != "key"])
-    pairs = blocks.join(other, "key").filter(f"blk <= b_blk and 100 * high >= {percent} * b_low")  # blocks ascend in size
+def _rest(members: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one leader that are in different components: (a, b), a spanning forest per pair of blocks.
+
+    Input: (lead, cls, n, comp, lead_n, over, words). Members are blocked by set size; block pairs whose sizes cannot reach the threshold are skipped whole.
+    """
+    banded = members.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(1.1)))).cast("int"))
+    sizes = banded.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("subs"))
+    dealt = banded.join(sizes, ["lead", "band"]).withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int"))
+    names = ("cls", "n", "comp", "over", "words")
+    item = F.struct(*[F.coalesce(c, F.lit(-1)).alias(c) if c == "over" else F.col(c) for c in names])
+    blocks = stored(dealt.groupBy("lead", "band", "sub").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("lead_n").alias("lead_n"), F.collect_list(item).alias("items")), "jaccard-blocks")
+    other = blocks.select("lead", *[F.col(c).alias(f"b_{c}") for c in ("band", "sub", "low", "high", "items")])
+    pairs = blocks.join(other, "lead").filter(f"(band < b_band or (band = b_band and sub <= b_sub)) and 100 * high >= {percent} * b_low and 100 * b_high >= {percent} * low")
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = ({k: np.array(r[p + k], np.int64) for k in names} for p in ("", "b_"))
-                na, nb = a["n"][:, None], b["n"][None, :]
-                need = -(-percent * (na + nb) // (100 + percent))
-                ok = (a["comp"][:, None] != b["comp"][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                if r["blk"] == r["b_blk"]:
-                    ok &= np.triu(np.ones(ok.shape, bool), 1)
-                ok &= 1 + np.minimum(na - a["pos"][:, None], nb - b["pos"][None, :]) - 1 >= need  # what can follow the common position
-                p, q = a["over"][:, None], b["over"][None, :]
-                known = (p >= 0) & (q >= 0)
-                most = np.minimum(p, q) + np.minimum(na - p, nb - q)
-                ok &= ~known | (most >= need)
-                sure = ok & known & (p + q - a["lead_n"][:, None] >= need)
-                i, j = np.nonzero(ok)
-                x, y = a["cls"][i], b["cls"][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sure[i, j])], names=["a", "b", "sure"])
-
-    return pairs.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in ("band", "sub", "b_band", "b_sub", "lead_n", "items", "b_items")}
+                same = (r["band"], r["sub"]) == (r["b_band"], r["b_sub"])
+                a, b = _between(r["items"], r["b_items"], same, r["lead_n"], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def _between(one: list[dict], two: list[dict], same: bool, lead_n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of two blocks as a forest. The leader's answers decide what they can; the others are counted on their sets."""
+    column = lambda items, c: np.array([x[c] for x in items], np.int64)
+    na, nb = column(one, "n")[:, None], column(two, "n")[None, :]
+    need = -(-percent * (na + nb) // (100 + percent))
+    ok = (column(one, "comp")[:, None] != column(two, "comp")[None, :]) & (np.minimum(na, nb) >= need)
+    if same:
+        ok &= np.triu(np.ones(ok.shape, bool), 1)
+    p, q = column(one, "over")[:, None], column(two, "over")[None, :]
+    known = (p >= 0) & (q >= 0)
+    ok &= ~known | (np.minimum(p, q) + np.minimum(na - p, nb - q) >= need)
+    sure = ok & known & (p + q - lead_n >= need)
+    i, j = np.flatnonzero((ok & ~sure).any(axis=1)), np.flatnonzero((ok & ~sure).any(axis=0))
+    if len(i):
+        sets = [np.frombuffer(one[k]["words"], np.uint64) for k in i] + [np.frombuffer(two[k]["words"], np.uint64) for k in j]
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        both = np.zeros((len(i), len(j)))
+        for low in range(0, len(words), 8192):  # incidence of a range of shingles at a time
+            use = (at >= low) & (at < low + 8192)
+            m = np.zeros((len(sets), min(8192, len(words) - low)), np.float32)
+            m[row[use], at[use] - low] = 1
+            both += m[: len(i)] @ m[len(i) :].T
+        sure[np.ix_(i, j)] |= ok[np.ix_(i, j)] & (both >= need[np.ix_(i, j)])
+    x, y = np.nonzero(sure)
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    nodes, roots = forest(column(one, "cls")[x], column(two, "cls")[y])
+    return nodes[nodes != roots], roots[nodes != roots]
 
 
 def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, share: float = SHARE) -> DataFrame:
@@ -262,15 +288,14 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", pe
     answers = _overlaps(first, words)
     links = answers.filter(_linked(percent)).select("a", "b")
     roots = components(links, "jaccard-components")
-    # the leader's own pairs are answered, so only lists with two others in different components have anything left
-    others = led.filter("size > 2 and cls <> lead")
+    # two classes of one list have its leader in common, whose own pairs are answered: what is left lies among the other members of a leader
+    others = led.filter("size > 2 and cls <> lead").select("lead", "cls", "n", "lead_n").distinct()
     placed = others.join(roots, others.cls == roots.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
-    many = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    many = placed.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("lead")
     known = answers.select(F.col("a").alias("lead"), F.col("b").alias("cls"), F.col("both").alias("over"))
-    open_lists = placed.join(many, "key").join(known, ["lead", "cls"], "left")
-    rest = stored(_rest(open_lists, percent), "jaccard-rest")
-    more = _overlaps(rest.filter("not sure").select("a", "b"), words).filter(_linked(percent)).select("a", "b")
-    roots = components(links.unionByName(more).unionByName(rest.filter("sure").select("a", "b")), "jaccard-components")
+    open_groups = placed.join(many, "lead").join(known, ["lead", "cls"], "left").join(words, "cls")
+    more = stored(_rest(open_groups, percent), "jaccard-rest")
+    roots = components(links.unionByName(more), "jaccard-components")
     classes = members.groupBy("cls").agg(F.min("doc_id").alias("low")).join(roots, F.col("cls") == F.col("node"), "left")
     classes = classes.select("cls", "low", F.coalesce("root", "cls").alias("root"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import components, copies, spread_join, stored
+from quantloom.llm.common import components, copies, forest, spread_join, stored
 from quantloom.llm.topk import vectors
 
 TILE = 1024
@@ -38,6 +38,12 @@ def _unit(a: np.ndarray) -> np.ndarray | None:
     return a / np.sqrt((a * a).sum())
 
 
+def _units(raw: bytes, dim: int, kind: str) -> np.ndarray:
+    a = np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
+    a = a / np.abs(a).max(axis=1, keepdims=True)
+    return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
+
+
 def _moments(classes: DataFrame) -> dict[int, np.ndarray]:
     """Second moments of the unit vectors by length: lengths squared numbers each."""
 
@@ -63,12 +69,18 @@ def _axes(moments: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in moments.items()}
 
 
+def _kind(classes: DataFrame) -> str:
+    """Number type in which vectors travel: that of the column."""
+    return "<f4" if classes.schema["vec"].dataType.elementType.typeName() == "float" else "<f8"
+
+
 def _tiles(classes: DataFrame, axes, width: float) -> DataFrame:
-    """Tiles of at most about TILE vectors: (dim, cell, sub, ids, counts, rotated, plain)."""
+    """Tiles of about TILE vectors: (dim, cell, sub, ids, sizes, vectors as they are stored)."""
+    kind = _kind(classes)
 
     def place(batches):
         for batch in batches:
-            cid, size, dims, cells, turned, plain = [], [], [], [], [], []
+            cid, size, dims, cells, plain = [], [], [], [], []
             for c, n, v in zip(batch.column("class_id").to_pylist(), batch.column("class_size").to_pylist(), vectors(batch.column("vec")), strict=True):
                 u = _unit(v) if v is not None else None
                 if u is None:
@@ -78,14 +90,13 @@ def _tiles(classes: DataFrame, axes, width: float) -> DataFrame:
                 size.append(n)
                 dims.append(len(u))
                 cells.append([int(x) for x in np.floor(np.pad(y[:AXES], (0, max(0, AXES - len(y)))) / width)])
-                turned.append(y.tobytes())
-                plain.append(u.tobytes())
+                plain.append(v.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(dims, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(turned, pa.binary()), pa.array(plain, pa.binary())],
-                names=["cid", "size", "dim", "cell", "turned", "plain"],
+                [pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(dims, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(plain, pa.binary())],
+                names=["cid", "size", "dim", "cell", "plain"],
             )
 
-    placed = stored(classes.select("class_id", "class_size", "vec").mapInArrow(place, "cid long, size long, dim int, cell array<int>, turned binary, plain binary"), "vectors-placed")
+    placed = stored(classes.select("class_id", "class_size", "vec").mapInArrow(place, "cid long, size long, dim int, cell array<int>, plain binary"), "vectors-placed")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("subs"))
     subbed = placed.join(sizes, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"))
 
@@ -96,11 +107,11 @@ def _tiles(classes: DataFrame, axes, width: float) -> DataFrame:
         raw = lambda c: t.column(c).to_numpy().astype("<i8").tobytes()
         return pa.Table.from_arrays(
             [pa.array([one("dim").as_py()], pa.int32()), pa.array([one("cell").as_py()], pa.list_(pa.int32())), pa.array([one("sub").as_py()], pa.int32())]
-            + [pa.array([x], pa.binary()) for x in (raw("cid"), raw("size"), joined("turned"), joined("plain"))],
-            names=["dim", "cell", "sub", "ids", "sizes", "turned", "plain"],
+            + [pa.array([x], pa.binary()) for x in (raw("cid"), raw("size"), joined("plain"))],
+            names=["dim", "cell", "sub", "ids", "sizes", "plain"],
         )
 
-    return stored(subbed.groupBy("dim", "cell", "sub").applyInArrow(tile, "dim int, cell array<int>, sub int, ids binary, sizes binary, turned binary, plain binary"), "vector-tiles")
+    return stored(subbed.groupBy("dim", "cell", "sub").applyInArrow(tile, "dim int, cell array<int>, sub int, ids binary, sizes binary, plain binary"), "vector-tiles")
 
 
 def linked(ya: np.ndarray, yb: np.ndarray, ua: np.ndarray, ub: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -135,34 +146,17 @@ def linked(ya: np.ndarray, yb: np.ndarray, ua: np.ndarray, ub: np.ndarray, t: fl
     return i[keep], j[keep]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star per connected part of the links a - b: (node, smallest node)."""
-    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inv[: len(a)], inv[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return nodes, nodes[label]
-
-
-def _compare(pairs: DataFrame, t: float) -> DataFrame:
+def _compare(pairs: DataFrame, t: float, axes, kind: str) -> DataFrame:
     """kind 0: links of a vector; kind 1: an edge of the forest."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                square = lambda x: np.frombuffer(x, np.float64).reshape(-1, dim)  # noqa: B023, E731
+            for k in range(batch.num_rows):  # one pair of tiles at a time
+                r = {c: batch.column(c)[k].as_py() for c in ("dim", "same", "ids", "sizes", "plain", "b_ids", "b_sizes", "b_plain")}
                 a, b = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["b_ids"], "<i8")
                 na, nb = np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["b_sizes"], "<i8")
-                i, j = linked(square(r["turned"]), square(r["b_turned"]), square(r["plain"]), square(r["b_plain"]), t)
+                ua, ub = _units(r["plain"], r["dim"], kind), _units(r["b_plain"], r["dim"], kind)
+                i, j = linked(ua @ axes.value[r["dim"]], ub @ axes.value[r["dim"]], ua, ub, t)
                 if r["same"]:
                     up = i < j
                     i, j = i[up], j[up]
@@ -171,7 +165,7 @@ def _compare(pairs: DataFrame, t: float) -> DataFrame:
                 ids = np.concatenate([a[i], b[j]])
                 u, inv = np.unique(ids, return_inverse=True)
                 n = np.bincount(inv, weights=np.concatenate([nb[j], na[i]]).astype(float)).astype(np.int64)
-                nodes, roots = _forest(a[i], b[j])
+                nodes, roots = forest(a[i], b[j])
                 off = nodes != roots
                 nodes, roots = nodes[off], roots[off]
                 yield pa.RecordBatch.from_arrays(
@@ -189,7 +183,7 @@ def _pairs(tiles: DataFrame) -> DataFrame:
     other = keys.select("dim", F.col("cell").alias("b_cell"), F.col("sub").alias("b_sub"))
     pairs = moved.join(other, ["dim", "b_cell"]).filter((F.col("cell") != F.col("b_cell")) | (F.col("sub") <= F.col("b_sub")))
     pairs = pairs.withColumn("same", (F.col("cell") == F.col("b_cell")) & (F.col("sub") == F.col("b_sub")))
-    b = tiles.select("dim", F.col("cell").alias("b_cell"), F.col("sub").alias("b_sub"), *[F.col(c).alias(f"b_{c}") for c in ("ids", "sizes", "turned", "plain")])
+    b = tiles.select("dim", F.col("cell").alias("b_cell"), F.col("sub").alias("b_sub"), *[F.col(c).alias(f"b_{c}") for c in ("ids", "sizes", "plain")])
     return pairs.join(tiles, ["dim", "cell", "sub"]).join(b, ["dim", "b_cell", "b_sub"])
 
 
@@ -205,7 +199,7 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.95, ident: str = "vec_
     classes = members.groupBy("class_id").agg(F.max("class_size").alias("class_size"), F.min_by("vec", "id").alias("vec"))
     axes = spark.sparkContext.broadcast(_axes(_moments(classes)))  # lengths squared numbers
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    found = stored(_compare(_pairs(_tiles(classes, axes, width)), threshold), "vector-links")
+    found = stored(_compare(_pairs(_tiles(classes, axes, width)), threshold, axes, _kind(classes)), "vector-links")
     roots = components(found.filter("kind = 1").select("a", "b"), "vector-components")
     links = found.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
     by_class = (

@@ -113,7 +113,7 @@ def _start(row: dict, nq: int, k: int, first: int) -> tuple[np.ndarray, np.ndarr
 def _histograms(pairs: DataFrame, width: int, k: int, first: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 qi, q, ci, c = _blocks(row)
                 s = _scores(q, c)
                 lo, need = _start(row, len(qi), k, first)
@@ -150,7 +150,7 @@ def _next(found: DataFrame, state: DataFrame, width: int, k: int, first: int) ->
 def _emit(pairs: DataFrame, k: int, first: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 qi, q, ci, c = _blocks(row)
                 s = _scores(q, c)
                 lo, need = _start(row, len(qi), k, first)
