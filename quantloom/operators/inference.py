@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.safe import clip, log_loss
+from quantloom.functions.safe import clip, finite, log_loss
 from quantloom.functions.tails import normal_sf
 
 
@@ -20,7 +20,7 @@ def diebold_mariano(losses: DataFrame, a: str, b: str, h: int = 1, by: Sequence[
 
     Series shorter than five give no row; a non-positive variance gives statistic 0.
     """
-    d = losses.select(*by, "date", (F.col(a) - F.col(b)).alias("d")).filter(F.col("d").isNotNull() & ~F.isnan("d"))
+    d = losses.select(*by, "date", (finite(a) - finite(b)).alias("d")).filter(F.col("d").isNotNull())
     w = _axis(by)
     d = d.select("*", (F.col("d") - F.avg("d").over(w)).alias("e"), F.count(F.lit(1)).over(w).alias("n"))
     ordered = w.orderBy("date")
@@ -73,7 +73,7 @@ def block_bootstrap(series: DataFrame, value: str, reps: int = 2000, block: int
     Replicate positions are generated and joined to the position-indexed daily series; work is reps x days, spread over replicates.
     """
     w = _axis(by)
-    x = series.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
+    x = series.filter(finite(value).isNotNull()).select(
         *by, F.col(value).alias("x"), (F.row_number().over(w.orderBy("date")) - 1).cast("long").alias("pos")
     )
     stats = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("observed_mean"))

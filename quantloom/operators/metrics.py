@@ -21,11 +21,15 @@ def sharpe(x: Column | str, ddof: int = 1, periods: float = TRADING_DAYS, on_zer
     return value if on_zero is None else F.coalesce(value, F.lit(on_zero))
 
 
+def _paired(df: DataFrame, p: str, y: str) -> DataFrame:
+    return df.filter(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull())
+
+
 def classification(df: DataFrame, by: Sequence[str], p: str = "score", y: str = "target", threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1 and Brier score (M1, M4)."""
+    """Accuracy, precision, recall, F1 and Brier score (M1, M4). Rows without score or label do not count."""
     hat, yes = F.col(p) >= threshold, F.col(y) == 1
     n = lambda c: F.sum(c.cast("long"))
-    counts = df.groupBy(*by).agg(
+    counts = _paired(df, p, y).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         n(hat & yes).alias("tp"),
         n(hat & ~yes).alias("fp"),
@@ -88,6 +92,7 @@ def probability_bin(p: str, bins: int) -> Column:
 
 def reliability(df: DataFrame, by: Sequence[str], p: str = "score", y: str = "target", bins: int = 10) -> DataFrame:
     """Mean forecast and observed rate of every bin, empty bins listed with NULLs."""
+    df = _paired(df, p, y)
     got = df.groupBy(*by, probability_bin(p, bins).alias("bin")).agg(F.avg(p).alias("pred_mean"), F.avg(y).alias("obs_freq"), F.count(F.lit(1)).alias("count"))
     every = got.select(*by).distinct() if by else df.sparkSession.range(1).select()
     every = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

@@ -38,7 +38,8 @@ def promotion_decisions(candidates: DataFrame, runs: DataFrame, current: DataFra
     ``candidates`` and ``runs`` carry run_id, model_id and the metrics; ``current`` is ``champions``' result.
     """
     side = runs.select(F.col("run_id").alias("champion_run_id"), F.lit(True).alias("_found"), *[F.col(m).alias(f"champion_{m}") for m in METRICS])
-    out = candidates.join(current.select("model_id", "champion_run_id"), "model_id", "left").join(side, "champion_run_id", "left")
+    held = current.select("model_id", "champion_run_id").join(side, "champion_run_id", "left")  # one row per model, before the candidates
+    out = candidates.join(held, "model_id", "left")
     c = {m: F.col(m) for m in METRICS}
     p = {m: F.col(f"champion_{m}") for m in METRICS}
     none_of = lambda d: F.coalesce(*d.values()).isNull()

@@ -2,7 +2,7 @@
 
 A slice is one Parquet table partitioned by a hash bucket of the ticker and sorted by (ticker, date) inside files: a
 ticker read prunes to one bucket folder and to the row groups of that ticker, and the number of folders does not
-grow with the universe. Saving replaces only the buckets it touches.
+grow with the universe. Saving replaces only the tickers it is given.
 """
 
 from __future__ import annotations
@@ -37,15 +37,24 @@ class SliceStore:
         return F.pmod(F.hash(ticker), F.lit(self.buckets))
 
     def save(self, name: str, df: DataFrame) -> None:
-        """Replace the touched buckets (A5, A14). Refuses an empty frame and the derived ``combined`` view."""
-        path = self.path(name)
+        """Replace the tickers given; others in their buckets stay (A5, A14). Refuses an empty frame and the derived ``combined`` view."""
+        self.path(name)  # refuses unknown names
         if name == "combined":
             raise ValueError("combined is derived from the other slices")
         if df.isEmpty():
             raise ValueError(f"refusing to save an empty {name} slice")
+        kept = self.load_buckets(name, df)
+        if kept is not None:
+            given = df.select("ticker").distinct()
+            df = stack([df, kept.join(given, "ticker", "left_anti")])
+            shared_dir(self.spark)
+            df = df.checkpoint()  # the buckets read here are replaced next
+        self._replace(name, df)
+
+    def _replace(self, name: str, df: DataFrame) -> None:
         out = df.withColumn(BUCKET, self._bucket(F.col("ticker")))
         out = out.repartition(BUCKET, F.col("ticker")).sortWithinPartitions(BUCKET, "ticker", "date")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path(name))
 
     def load(self, name: str, ticker: str | None = None) -> DataFrame | None:
         """The slice, or one ticker of it; None when it was never saved."""
@@ -74,19 +83,18 @@ class SliceStore:
 
         The merged rows are checkpointed before the buckets they came from are replaced.
         """
-        stored = self.load_buckets(name, increment)
-        merged = increment if stored is None else merge_history(stored, increment)
+        merged = merge_history(self.load_buckets(name, increment), increment)
         shared_dir(self.spark)
-        self.save(name, merged.checkpoint())
+        self._replace(name, merged.checkpoint())
 
     def load_buckets(self, name: str, increment: DataFrame) -> DataFrame | None:
-        """Stored rows of the buckets an increment touches; the bucket join prunes partitions at run time."""
+        """Stored rows of the buckets an increment touches; other bucket folders are not read (at most ``buckets`` ids reach the driver)."""
         try:
             stored = self.spark.read.parquet(self.path(name))
         except AnalysisException:
             return None
-        touched = increment.select(self._bucket(F.col("ticker")).alias(BUCKET)).distinct()
-        return stored.join(touched, BUCKET, "left_semi").drop(BUCKET)
+        touched = [r[0] for r in increment.select(self._bucket(F.col("ticker"))).distinct().collect()]
+        return stored.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
 
 
 def write_json_records(df: DataFrame, path: str) -> None:
