@@ -15,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import stored
+from quantloom.llm.common import spread_join, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKED = "label:block"
@@ -81,7 +81,7 @@ def judge(
     mined = stored(mine(stored(labelled, "url-labelled"), min_support, min_confidence), "url-rules")
     patterns = rows.select(F.col("_key").alias("key"), F.col("_tokens").alias("tokens")).dropDuplicates(["key"])
     best = fired(patterns, mined).select(F.col("key").alias("_key"), "confidence")
-    rows = rows.drop("confidence").join(best, "_key", "left")
+    rows = spread_join(rows.drop("confidence"), best, "_key", ident, "left")  # one token set may hold a third of all pages
     return (
         rows.withColumn("rule", text)
         .withColumn("verdict", F.coalesce(what, F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")))
