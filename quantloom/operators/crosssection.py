@@ -62,6 +62,6 @@ def holdings_turnover(holdings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sizes.agg((1 - F.coalesce(F.sum("_kept"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("turnover"))
 
 
-def newest_first(df: DataFrame, order: Sequence[str], limit: int, most: int = 200) -> DataFrame:
-    """Newest rows first, the limit clamped to [1, most] (F8)."""
-    return df.orderBy(*[F.col(c).desc() for c in order]).limit(max(1, min(limit, most)))
+def newest_first(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """Newest ``limit`` rows first, at least one (F8). Page sizes are the caller's."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(max(1, limit))

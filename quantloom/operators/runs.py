@@ -131,7 +131,7 @@ def requeue_decisions(jobs: DataFrame, now: Column, stale_after_sec: int = 300)
 
 def dead_letters(jobs: DataFrame, limit: int = 100) -> DataFrame:
     """Newest dead-letter jobs."""
-    return jobs.filter(is_dead_letter()).orderBy(F.col("updated_at").desc(), F.col("run_id").asc()).limit(max(1, min(limit, 1000)))
+    return jobs.filter(is_dead_letter()).orderBy(F.col("updated_at").desc(), F.col("run_id").asc()).limit(max(1, limit))
 
 
 def readiness(asked: DataFrame, have: dict[str, DataFrame]) -> DataFrame:

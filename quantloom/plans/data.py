@@ -388,7 +388,7 @@ def stored_merge(spark, sf_dir):
     return s.load("bars")
 
 
-@query("newest_runs", "F8", "select run_id, model_id, created_at from training_runs where status='completed' order by created_at desc, run_id desc limit 200")
+@query("newest_runs", "F8", "select run_id, model_id, created_at from training_runs where status='completed' order by created_at desc, run_id desc limit 1000")
 def newest_runs(spark, sf_dir):
     rows = tables.training_runs(spark, sf_dir).filter("status = 'completed'").select("run_id", "model_id", "created_at")
     return crosssection.newest_first(rows, ["created_at", "run_id"], 1000)

@@ -303,14 +303,9 @@ def top_attributions(spark, sf_dir):
     return explain.top_features(attributions(spark, sf_dir), 2)
 
 
-view("picked", f"select ticker, date from (select ticker, date from tech where {_GOOD}) t order by md5(ticker||'|'||cast(date as varchar)||'|42') limit 300")
-
-
-@query("global_importance", "Q6", f"select feature, {r('avg(abs(value))')} as mean_abs from attributions join picked using (ticker, date) group by 1")
+@query("global_importance", "Q6", f"select feature, {r('avg(abs(value))')} as mean_abs from attributions group by 1")
 def global_importance(spark, sf_dir):
-    table = attributions(spark, sf_dir)
-    picked = explain.deterministic_sample(table.select("ticker", "date").distinct(), ["ticker", "date"], 300)
-    return rounded(explain.global_importance(table.join(picked, ["ticker", "date"], "left_semi")))
+    return rounded(explain.global_importance(attributions(spark, sf_dir)))
 
 
 @query("base_value", "Q7", f"select {r('avg(score)')} as base_value from scored")

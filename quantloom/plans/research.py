@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import rounded
@@ -338,23 +339,28 @@ def backtest_trades(spark, sf_dir):
     return rounded(backtest.trades(curve(spark, sf_dir)))
 
 
-view("bt_metrics", """with c as (select ticker, model_id, min(date) as start_date, max(date) as end_date, max_by(equity,date)/10000-1 as cumulative_return, count(*) as n,
+def slog(x: str) -> str:
+    """Signed logarithm in SQL: compounded figures of the synthetic bars outgrow a double's decimals."""
+    return f"(sign({x})*ln(1+abs({x})))"
+
+
+def _logged(df, columns):
+    """``columns`` as signed logarithms, named log_*."""
+    return df.withColumns({f"log_{c}": F.signum(c) * F.log1p(F.abs(c)) for c in columns}).drop(*columns)
+
+
+view("bt_metrics", f"""with c as (select ticker, model_id, min(date) as start_date, max(date) as end_date, max_by(equity,date)/10000-1 as cumulative_return, count(*) as n,
       case when stddev_pop(before*asset_ret)>1e-12 then avg(before*asset_ret)/stddev_pop(before*asset_ret)*sqrt(252.0e0) else 0 end as sharpe_ratio, min(dd) as max_drawdown, avg(position_change) as turnover
       from (select *, equity/max(equity) over (partition by ticker, model_id order by date)-1 as dd from bt) t group by 1,2)
-    select c.* replace (least(c.cumulative_return,1e6) as cumulative_return), coalesce(d.total_trades,0) as total_trades, coalesce(d.win_rate,0) as win_rate, least(power(1+cumulative_return,252.0e0/n)-1,1e6) as annualized_return from c left join
+    select c.*, {slog('c.cumulative_return')} as log_cumulative_return, coalesce(d.total_trades,0) as total_trades, coalesce(d.win_rate,0) as win_rate, {slog('(power(1+c.cumulative_return,252.0e0/c.n)-1)')} as log_annualized_return from c left join
     (select ticker, model_id, count(*) as total_trades, avg(cast(pnl_pct>0 as int)) as win_rate from deals group by 1,2) d using (ticker, model_id)""")
-_BT = ["cumulative_return", "sharpe_ratio", "max_drawdown", "turnover", "win_rate", "annualized_return"]
-LARGE = 1_000_000.0  # compounded figures of the synthetic bars outgrow a double's decimals; compare them up to here
-
-
-def _capped(df, columns=("cumulative_return", "annualized_return")):
-    return df.withColumns({c: F.least(F.col(c), F.lit(LARGE)) for c in columns})
+_BT = ["log_cumulative_return", "sharpe_ratio", "max_drawdown", "turnover", "win_rate", "log_annualized_return"]
 
 
 
 @query("backtest_signal_metrics", "O3", f"select ticker, model_id, start_date, end_date, total_trades, {', '.join(f'{r(c)} as {c}' for c in _BT)} from bt_metrics")
 def backtest_signal_metrics(spark, sf_dir):
-    return rounded(_capped(backtest.signal_metrics(curve(spark, sf_dir))))
+    return rounded(_logged(backtest.signal_metrics(curve(spark, sf_dir)), ["cumulative_return", "annualized_return"]))
 
 
 @query("backtest_drawdown", "E23 E24", f"select ticker, model_id, date, {r('equity/max(equity) over (partition by ticker, model_id order by date)-1')} as drawdown, position_change from bt")
@@ -365,7 +371,7 @@ def backtest_drawdown(spark, sf_dir):
 
 @query("backtest_mean_by_model", "D14", f"select model_id, {', '.join(f'{r(f'avg({c})')} as {c}' for c in _BT)} from bt_metrics group by 1")
 def backtest_mean_by_model(spark, sf_dir):
-    return rounded(_capped(backtest.signal_metrics(curve(spark, sf_dir))).groupBy("model_id").agg(*[F.avg(c).alias(c) for c in _BT]))
+    return rounded(_logged(backtest.signal_metrics(curve(spark, sf_dir)), ["cumulative_return", "annualized_return"]).groupBy("model_id").agg(*[F.avg(c).alias(c) for c in _BT]))
 
 
 @query("backtest_rollup", "D14", f"""select ticker, model_id, {r("avg(sharpe_ratio)")} as sharpe_ratio, {r("avg(turnover)")} as turnover, count(*) as n from bt_metrics group by rollup (model_id, ticker)""")
@@ -437,10 +443,11 @@ view("tku", """select date, avg(ret_1d) as ret, avg(cast(k<=10 as int)) as selec
 
 
 @query("backtest_topk_vs_universe", "O9 C13 F6", f"""select date, {r("ret")} as ret, {r("selected")} as selected, {r("topk_ret")} as topk_ret,
-    {r("coalesce(abs(selected-lag(selected) over (order by date)),selected)")} as selected_share_turnover, least({r("ln(product(1+topk_ret) over (order by date))")},700) as log_topk from tku""")
+    {r("coalesce(abs(selected-lag(selected) over (order by date)),selected)")} as selected_share_turnover, {r("sum(ln(1+topk_ret)) over (order by date)")} as log_topk from tku""")
 def backtest_topk_vs_universe(spark, sf_dir):
     out = backtest.top_k_vs_universe(scored(spark, sf_dir), 10)
-    return rounded(out.select("date", "ret", "selected", "topk_ret", "selected_share_turnover", F.least(F.log("curve_topk"), F.lit(700.0)).alias("log_topk")))
+    grown = F.sum(F.log1p("topk_ret")).over(Window.orderBy("date"))  # one row per date
+    return rounded(out.select("date", "ret", "selected", "topk_ret", "selected_share_turnover", grown.alias("log_topk")))
 
 
 @query("backtest_topk_vs_universe_stats", "O9", f"""select {r("avg(topk_ret)/stddev_samp(topk_ret)*sqrt(252.0e0)")} as topk_sharpe, {r("avg(ret)/stddev_samp(ret)*sqrt(252.0e0)")} as universe_sharpe,
@@ -464,16 +471,16 @@ def _ticker_views(prefix, thresholds):
         coalesce(case when stddev_samp(gross_return-trade*0.001e0)>0 then avg(gross_return-trade*0.001e0)/stddev_samp(gross_return-trade*0.001e0)*sqrt(252.0e0) end,0) as sharpe,
         min(dd) as max_drawdown, coalesce(avg(cast(gross_return>0 as int)) filter (position=1),0) as win_rate, cast(sum(position) as bigint) as n_trades from {prefix}_e group by 1,2,3),
       a as (select *, power(1+total_return,252.0e0/n)-1 as ann_return from m)
-      select ticker, model_id, threshold, {r("least(total_return,1e6)", 4)} as total_return, {r("ln(1+bnh_return)", 4)} as log_bnh, {r("sharpe", 3)} as sharpe, {r("max_drawdown", 4)} as max_drawdown,
-      {r("win_rate", 4)} as win_rate, n_trades, {r("least(ann_return,1e6)", 4)} as ann_return, {r("least(coalesce(ann_return/nullif(abs(max_drawdown),0),0),1e6)", 3)} as calmar from a"""
+      select ticker, model_id, threshold, {r(slog("total_return"), 4)} as log_total_return, {r("ln(1+bnh_return)", 4)} as log_bnh, {r("sharpe", 3)} as sharpe, {r("max_drawdown", 4)} as max_drawdown,
+      {r("win_rate", 4)} as win_rate, n_trades, {r(slog("ann_return"), 4)} as log_ann_return, {r(slog("coalesce(ann_return/nullif(abs(max_drawdown),0),0)"), 3)} as log_calmar from a"""
 
 
 SWEEP = [round(0.45 + 0.02 * i, 2) for i in range(14)]
 
 
 def _ticker_result(df):
-    out = _capped(df, ["total_return", "ann_return", "calmar"]).withColumn("log_bnh", F.log1p("bnh_return")).drop("bnh_return")
-    three = ["sharpe", "calmar"]
+    out = _logged(df, ["total_return", "ann_return", "calmar"]).withColumn("log_bnh", F.log1p("bnh_return")).drop("bnh_return")
+    three = ["sharpe", "log_calmar"]
     return rounded(out, 4, skip=[*three, "threshold"]).withColumns({c: F.round(c, 3) for c in three})
 
 
