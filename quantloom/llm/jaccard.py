@@ -300,7 +300,7 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", pe
     classes = classes.select("cls", "low", F.coalesce("root", "cls").alias("root"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     of_class = classes.join(least, "root").select("cls", "component_id")
-    full = spread_join(members.filter("n > 0"), of_class, "cls", "doc_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    full = spread_join(members.filter("n > 0"), of_class, "cls", "doc_id", present=True).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = members.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
