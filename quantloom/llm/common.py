@@ -103,16 +103,17 @@ def copies(df: DataFrame, key: Sequence[str], ident: str, salts: int = 32) -> Da
     return salted.join(back, [*key, "_salt"]).drop("_salt")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, ident: str, how: str = "inner", salts: int = 32, present: bool = False) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str | Sequence[str], ident: str, how: str = "inner", salts: int = 32, present: bool = False) -> DataFrame:
     """Join ``rows`` with a ``table`` of one row per key; a key with a third of all rows is dealt over ``salts`` partitions.
 
     ``present`` repeats a key's row only for the salts that its rows have, which is less when most keys have few rows.
     """
+    key = [key] if isinstance(key, str) else list(key)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)))
     if present:
-        return salted.join(salted.select(key, "_salt").distinct().join(table, key), [key, "_salt"], how).drop("_salt")
+        return salted.join(salted.select(*key, "_salt").distinct().join(table, key), [*key, "_salt"], how).drop("_salt")
     wide = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    return salted.join(wide, [key, "_salt"], how).drop("_salt")
+    return salted.join(wide, [*key, "_salt"], how).drop("_salt")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

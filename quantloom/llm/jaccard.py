@@ -214,7 +214,7 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
     """
     banded = members.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(1.1)))).cast("int"))
     sizes = banded.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("subs"))
-    dealt = banded.join(sizes, ["lead", "band"]).withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int"))
+    dealt = spread_join(banded, sizes, ["lead", "band"], "cls").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int"))
     names = ("cls", "n", "comp", "over", "words")
     item = F.struct(*[F.coalesce(c, F.lit(-1)).alias(c) if c == "over" else F.col(c) for c in names])
     blocks = stored(dealt.groupBy("lead", "band", "sub").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("lead_n").alias("lead_n"), F.collect_list(item).alias("items")), "jaccard-blocks")
