@@ -98,7 +98,7 @@ def _tiles(classes: DataFrame, axes, width: float) -> DataFrame:
 
     placed = stored(classes.select("class_id", "class_size", "vec").mapInArrow(place, "cid long, size long, dim int, cell array<int>, plain binary"), "vectors-placed")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("subs"))
-    subbed = placed.join(sizes, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"))
+    subbed = spread_join(placed, sizes, ["dim", "cell"], "cid", present=True).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"))
 
     def tile(t: pa.Table) -> pa.Table:
         t = t.sort_by("cid")
