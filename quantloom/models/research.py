@@ -50,11 +50,17 @@ def cv_metrics(panel: DataFrame, folds: DataFrame, name: str, spec: Spec = FORES
     return stack(rows)
 
 
-def group_comparison(train: DataFrame, test: DataFrame, groups: dict[str, Sequence[str]], spec: Spec = FOREST, label: str = "target") -> DataFrame:
-    """The same model on different feature groups, one evaluation row each."""
+def group_comparison(train: DataFrame, test: DataFrame, groups: dict[str, Sequence[str]], spec: Spec = FOREST, label: str = "target", leave_out: Sequence[str] = ()) -> DataFrame:
+    """The same model on different feature groups, one evaluation row each.
+
+    A feature that the rows lack is an error unless ``leave_out`` names it; groups left with fewer than two features have no row.
+    """
+    absent = sorted({f for features in groups.values() for f in features} - set(train.columns) - set(leave_out))
+    if absent:
+        raise ValueError(f"features absent from the rows: {absent}")
     rows = []
     for name, features in groups.items():
-        have = [f for f in features if f in train.columns]
+        have = [f for f in features if f not in leave_out]
         if len(have) < 2:
             continue
         scored = fit(spec.with_features(have), train, label).score(test).withColumnRenamed("probability", "score").withColumn("target", F.col(label))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import rounded
-from quantloom.functions.vocabulary import FUNDAMENTAL, LAG, PRICE, SENTIMENT, TECHNICAL
+from quantloom.functions.vocabulary import FUNDAMENTAL, LAG, MACRO, PRICE, SECTOR, SENTIMENT, TECHNICAL
 from quantloom.models import attribution, research, training
 from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, spec_of
 from quantloom.operators import fundamentals, labels, panel, sentiment, splits, technical
@@ -96,7 +96,7 @@ def strategy_groups(spark, sf_dir):
 @query("feature_ablation", "N16")
 def feature_ablation(spark, sf_dir):
     part = roles(spark, sf_dir)
-    return research.group_comparison(part["train"], part["test"], ABLATION_STEPS, light("model_a"))
+    return research.group_comparison(part["train"], part["test"], ABLATION_STEPS, light("model_a"), leave_out=MACRO + SECTOR)
 
 
 @query("search_validation", "N14")

@@ -171,3 +171,13 @@ def test_student_tail(spark):
 
     p = spark.createDataFrame([(2.228, 10.0), (0.0, 5.0), (12.706, 1.0)], "t double, v double").select(student_t_two_sided("t", "v")).collect()
     assert np.allclose([r[0] for r in p], [0.05, 1.0, 0.05], atol=2e-4)
+
+
+def test_group_comparison_names_absent_features(spark):
+    import pytest
+
+    from quantloom.models import research
+
+    rows = spark.createDataFrame([(0.1, 0.2, 1)], "a double, b double, target int")
+    with pytest.raises(ValueError, match="'gone'"):
+        research.group_comparison(rows, rows, {"g": ["a", "b", "gone"]})
