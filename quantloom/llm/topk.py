@@ -134,17 +134,20 @@ def _histograms(pairs: DataFrame, width: int, k: int, first: int) -> DataFrame:
 
 
 def _next(found: DataFrame, state: DataFrame, width: int, k: int, first: int) -> DataFrame:
-    """The bin with the k-th score; a query with too few scores in its interval goes on below the lowest one."""
+    """The bin with the k-th score. A query with too few candidates keeps the whole range: it starts at ``first`` and still needs ``k``.
+
+    Blocks without any score in their interval keep a row without entries, which means the same for all their queries.
+    """
     upto = F.sum("n").over(Window.partitionBy("dim", "qb", "qi").orderBy(F.col("lo").desc()).rowsBetween(Window.unboundedPreceding, 0))  # at most BINS rows
     run = found.withColumn("upto", upto)
     pick = run.groupBy("dim", "qb", "qi").agg(
         F.max(F.when(F.col("upto") >= F.col("need"), F.col("lo"))).alias("lo"),
         F.max_by(F.col("need") - (F.col("upto") - F.col("n")), F.when(F.col("upto") >= F.col("need"), F.col("lo"))).alias("need_in"),
-        F.min("lo").alias("lowest"),
         F.max("need").alias("need"),
     )
     fixed = pick.select("dim", "qb", F.struct("qi", F.coalesce("lo", F.lit(first)).alias("lo"), F.coalesce("need_in", "need").cast("long").alias("need")).alias("x"))
-    return stored(fixed.groupBy("dim", "qb").agg(F.collect_list("x").alias("at")), "topk-state")  # at most a block of queries a row
+    packed = fixed.groupBy("dim", "qb").agg(F.collect_list("x").alias("at"))  # at most a block of queries a row
+    return stored(state.select("dim", "qb").join(packed, ["dim", "qb"], "left"), "topk-state")
 
 
 def _emit(pairs: DataFrame, k: int, first: int) -> DataFrame:

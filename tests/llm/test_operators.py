@@ -107,6 +107,23 @@ def test_top_k(spark, vecs):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0
 
 
+@pytest.mark.parametrize("k", [2, 100])
+def test_top_k_above_the_number_of_candidates(spark, vecs, k):
+    """Queries of a rare length (67 and 68) and, with k = 100, all queries return every candidate they have."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<double>")
+    asked = (0, 20, 64, 67, 68)
+    got = {q: [] for q in asked}
+    for r in topk.top_k(df, F.col("vec_id").isin(*asked), k).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    good = {i: np.floor(64 * np.array(v)) for i, v in vecs.items() if v and all(x is not None and math.isfinite(x) for x in v)}
+    for q in asked:
+        s = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:k]
+        assert sorted(got[q]) == [(n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    assert [len(got[q]) for q in (67, 68)] == [1, 1]
+
+
 def test_bpe_and_packing(docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in bpe.digests(bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))).collect():
