@@ -15,10 +15,10 @@ from quantloom.llm.common import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
-    model = language.fit(docs)
-    found = language.identify(docs, model, pred="_lang_pred", score="_lang_score")
-    return language.accepted(found, "_lang_pred", "_lang_score").select(*docs.columns)
+    """Documents without a recognisable language go: no letters, noise, or a language that no label names."""
+    model = language.calibrated(docs, language.fit(docs))
+    names = ("_lang_pred", "_lang_score", "_lang_coverage", "_lang_grams")
+    return language.accepted(language.identify(docs, model, "text", *names), model, *names).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,11 +10,14 @@ with a rate of at least ``min_rate``, so at most 1 / min_rate of them).
 Defined results: null text or text without a letter gives ``und`` with score 0; a text whose n-grams are in no filter gives the most frequent
 learned language with score 0; ties go to the language first by name; without a labelled row everything is ``und``. Columns named
 like the outputs are replaced, all other columns pass through.
+
+Whether a text is in a learned language at all is told by its coverage, the share of all its n-grams that its best language holds. ``calibrated`` measures on
+held-out labelled rows what coverage each language has; ``accepted`` asks for half of what nearly all of them reach.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from quantloom.llm.common import annotate, mix, slices, text_bytes
 GRAM_BITS = 22  # n-grams are 4 bytes of lower-case UTF-8, hashed to so many bits
 HASHES = 3
 SPACE = 0x20
+LEAST_GRAMS, LEAST_ROWS = 50, 100
 
 
 def _classes() -> np.ndarray:
@@ -69,6 +73,8 @@ class LanguageModel:
     usual: int  # index of the most frequent
     slots: np.ndarray  # planes x slots of 64 languages each
     fill: np.ndarray  # per language, share of slots with its bit
+    held: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per language, share of all hashed n-grams that it holds
+    least: dict[str, float] = field(default_factory=dict)  # per language, coverage that ``accepted`` asks for
 
     @property
     def false_rate(self) -> np.ndarray:
@@ -133,7 +139,24 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
             mine = who // 64 == p
             np.bitwise_or.at(slots[p], at[mine], np.uint64(1) << (who[mine] % 64).astype(np.uint64))
     fill = np.array([float(np.mean((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1))) for i in range(len(langs))])
-    return LanguageModel(langs, langs.index(max(langs, key=lambda k: totals[k])), slots, fill)
+    held = np.bincount(who, minlength=len(langs)) / (1 << GRAM_BITS)
+    return LanguageModel(langs, langs.index(max(langs, key=lambda k: totals[k])), slots, fill, held)
+
+
+def calibrated(rows: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", quantile: float = 0.01, parts: int = 5) -> LanguageModel:
+    """``model`` with the least coverage of each language: half the low ``quantile`` among held-out rows of its label.
+
+    A second model learns from all but one of ``parts`` parts of the rows, dealt by a hash of the text so that equal texts stay together, and is measured on the
+    part left out. Texts of fewer than ``LEAST_GRAMS`` n-grams are not measured; a language with fewer than ``LEAST_ROWS`` measured rows takes the quantile of all.
+    """
+    labelled = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
+    part = F.pmod(F.xxhash64("text"), F.lit(parts))
+    found = identify(labelled.filter(part == 0), fit(labelled.filter(part != 0)), coverage="coverage", n_grams="n_grams").drop("text")
+    low = found.filter(F.col("n_grams") >= LEAST_GRAMS).rollup("lang").agg(F.percentile_approx("coverage", quantile, 10000).alias("low"), F.count(F.lit(1)).alias("n"))
+    measured = {r["lang"]: (r["low"], r["n"]) for r in low.collect()}  # one row per language, and all of them under None
+    whole = measured.get(None, (0.0, 0))[0] or 0.0
+    least = {name: (low if n >= LEAST_ROWS else whole) / 2 for name in model.langs for low, n in [measured.get(name, (0.0, 0))]}
+    return replace(model, least=least)
 
 
 def language_counts(model: LanguageModel, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +180,12 @@ def _has_letter(value: str | None) -> bool:
     return bool(value) and any(c.isalpha() for c in value)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Every row with its predicted language and the language's share of all corrected counts."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score", coverage: str | None = None, n_grams: str | None = None) -> DataFrame:
+    """Every row with its predicted language and the language's share of all corrected counts.
+
+    On demand also with the coverage by that language (also corrected for n-grams that only share a hash with one of its own) and the number of n-grams.
+    """
+    asked = [name for name in (coverage, n_grams) if name]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^20 slots per 64 languages
 
     def make():
@@ -167,16 +194,20 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
         def work(batch):
             column = batch.column(text)
             raw, offs = text_bytes(_lower(column))
-            names, scores = [], []
+            names, scores, covered, counted = [], [], [], []
             ascii_letter = np.zeros(256, bool)
             ascii_letter[ord("a") : ord("z") + 1] = True
             for s, e in slices(offs):
                 part, po = raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s]
                 seen = np.concatenate(([0], np.cumsum(ascii_letter[part])))
                 letters = (seen[po[1:]] - seen[po[:-1]]) > 0
-                c, _ = language_counts(m, part, po) if m.langs else (np.zeros((e - s, 1)), None)
+                c, n = language_counts(m, part, po) if m.langs else (np.zeros((e - s, 1)), np.zeros(e - s))
                 best = c.argmax(axis=1)
                 total = c.sum(axis=1)
+                if asked:
+                    chance = m.held[best] if m.langs else 0.0
+                    covered.append(np.maximum(0.0, (c.max(axis=1) / np.maximum(1, n) - chance) / (1 - chance)))
+                    counted.append(n.astype(np.int64))
                 for i in range(e - s):
                     if not m.langs or not (letters[i] or _has_letter(column[s + i].as_py())):
                         names.append("und")
@@ -187,13 +218,24 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
                     else:
                         names.append(m.langs[best[i]])
                         scores.append(min(1.0, float(c[i, best[i]] / total[i])))
-            return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            out = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            if coverage:
+                out.append(pa.array(np.concatenate([np.zeros(0), *covered]), pa.float64()))
+            if n_grams:
+                out.append(pa.array(np.concatenate([np.zeros(0, np.int64), *counted]), pa.int64()))
+            return out
 
         return work
 
-    return annotate(docs, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())], make)
+    fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
+    fields += [T.StructField(name, kind) for name, kind in ((coverage, T.DoubleType()), (n_grams, T.LongType())) if name]
+    return annotate(docs, fields, make)
 
 
-def accepted(found: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Rows whose language was found: not ``und``, and some n-gram of it in the text."""
-    return found.filter((F.col(pred) != "und") & (F.col(score) > 0))
+def accepted(found: DataFrame, model: LanguageModel, pred: str = "lang_pred", score: str = "score", coverage: str = "coverage", n_grams: str = "n_grams") -> DataFrame:
+    """Rows whose language was found: not ``und``, and as much of the text in it as ``calibrated`` measured, less two standard errors of a text of that length."""
+    least = F.lit(0.0)
+    if model.least:
+        least = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in model.least.items() for x in item]), F.col(pred)), least)
+    slack = 2 * F.sqrt(least * (1 - least) / F.greatest(F.col(n_grams), F.lit(1)))
+    return found.filter((F.col(pred) != "und") & (F.col(score) > 0) & (F.col(coverage) >= least - slack))

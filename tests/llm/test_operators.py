@@ -57,6 +57,21 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.identify(docs, language.fit(train.limit(0))).collect()} == {"und"}
 
 
+def test_language_stage_rejects_noise_and_languages_without_label(spark, sf_dir):
+    import base64
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    bad = [base64.b64encode(rng.bytes(3000)).decode(), "".join(rng.choice(letters, 3000)), "быстрая лиса прыгает через ленивую собаку " * 40, "敏捷的棕色狐狸跳过懒狗 " * 80]
+    bad += ["nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään " * 20, "".join(rng.choice(letters, 40)), "0x1f2e " * 300]
+    extra = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(bad)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def brute_links(vecs, t):
     ids, ok = list(vecs), {}
     for i in ids:
