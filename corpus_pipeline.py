@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5 words, similarity 0.75) stays: the one with the smallest identifier."""
+    """One document of each group of near copies (5 words, similarity 0.75) stays: the one with the smallest identifier, once."""
     return jaccard.deduplicated(docs).select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import components, forest, slices, spread_join, stored, text_bytes
+from quantloom.llm.common import components, crc32_text, forest, slices, spread_join, stored, text_bytes
 from quantloom.llm.words import shingles, word_hashes
 
 SHARE = 0.4  # of the hash range that every class posts
@@ -84,7 +84,7 @@ def _post(rows: DataFrame, width: int, percent: int, buckets: int, share: float)
         for batch in batches:
             for d, c, one in zip(batch.column("doc_id").to_pylist(), batch.column("cls").to_pylist(), sets_of(batch.column("text"), width), strict=True):
                 docs.append((d, c, len(one)))
-                turn = d if len(docs) == 1 else turn
+                turn = crc32_text(str(d)) if len(docs) == 1 else turn
                 if len(one) and c not in seen:  # copies in one task post once
                     seen.add(c)
                     cls.append(c)
@@ -316,6 +316,15 @@ def _documents(passed: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, ident: str = "doc_id", **options) -> DataFrame:
-    """One document of each component stays: the one whose identifier names it. Rows without identifier stay."""
-    found = components_of(docs, ident, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, docs[ident] == found["_keep"]).drop("_keep").unionByName(docs.filter(F.col(ident).isNull()))
+    """One row of each component stays: one with the smallest identifier; rows without identifier come last.
+
+    Rows are told apart by a generated key, so repeated rows, other texts under the same identifier and rows without identifier take part like all
+    others. Rows without a word are no copies of each other; of those that repeat an identifier one stays.
+    """
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = components_of(keyed, "_row", **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), "n_shingles")
+    named = keyed.select("_row", F.col(ident).alias("_id")).join(found, "_row")
+    wordless = (F.col("n_shingles") == 0) & F.col("_id").isNotNull()
+    groups = named.groupBy(F.when(wordless, F.col("_id")).alias("_same"), F.when(~wordless, F.col("_group")).alias("_group"))
+    best = groups.agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("_best")).select(F.col("_best._row").alias("_row"))
+    return keyed.join(best, "_row").drop("_row")

@@ -178,6 +178,22 @@ def test_jaccard(docs, empty):
     assert jaccard.components_of(empty).count() == 0
 
 
+def test_deduplication_leaves_one_row_of_each_group(spark, empty):
+    rng = np.random.default_rng(11)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(80)) for _ in range(4))
+    near = " ".join(a.split()[:79])
+    rows = [(1, a, "en"), (1, a, "en"), (1, near, "en"), (2, near, "en"), (None, a, "en"), (None, b, "en"), (None, b, "en"), (None, b, "de")]
+    rows += [(5, c, "en"), (5, d, "en"), (3, d, "en"), (7, "", "en"), (7, "", "en"), (8, None, "en"), (None, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = jaccard.deduplicated(df.repartition(3))
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    first = [key for key in got if key[0] == 1]
+    assert len(first) == 1 and first[0][1] in (a, near)
+    assert got == Counter([first[0], (None, b), (5, c), (3, d), (7, ""), (8, None), (None, "")])
+    assert jaccard.deduplicated(empty).count() == 0
+
+
 def test_jaccard_compares_members_of_one_leader():
     """Two sets far from their leader but near each other are linked on their sets."""
     a, b = np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)
