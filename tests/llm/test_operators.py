@@ -223,6 +223,55 @@ def test_licences(spark):
     assert got == {1: (2, "mit,all-rights-reserved"), 2: (0, ""), 3: (0, ""), 4: (1, "mit")}
 
 
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2001, Somebody. All  rights\r
+reserved.
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+FREE = """ * This {} is free software{} you can redistribute it and/or
+ * modify it under the terms of the GNU {}General Public License as
+ * published by the Free Software Foundation, either version {} of the
+ * License, or (at your option) any later version.
+"""
+
+
+def test_licences_over_several_lines(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    rows = [
+        (APACHE, "apache-2-the-license,apache-2-comply,apache-2-copy", "apache-2.0"), (MIT, "mit-title,mit-grant,mit-notice", "mit"), (BSD, "reserved,bsd-source,bsd-binary", "bsd,all-rights-reserved"),
+        (FREE.format("program", ":", "", "3"), "gpl-free", "gpl-3.0-or-later"), (FREE.format("program", ";", "", "2"), "gpl-free-2", "gpl-2.0-or-later"), (FREE.format("library", ";", "Lesser ", "2.1"), "lgpl-free-2.1", "lgpl-2.1-or-later"),
+        (FREE.format("program", ":", "Affero ", "3"), "agpl-free", "agpl-3.0-or-later"), (mpl, "mpl-2", "mpl-2.0"), (isc, "isc-grant", "isc"), ("This work is in the public-domain", "public-domain", "public-domain"),
+        ("Licensed under the Apache License, Version 2.0\n(the License)", "apache-2-under", "apache-2.0"), ("not released under the MIT license", "", ""), ("so it is released under\nthe MIT license", "mit-title", ""), ("Released under\nthe MIT license!\nx", "mit-released", "mit"),
+        ("\n" * 50000 + "a. " * 50000, "", ""),
+    ]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licences.scan(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert got == {k: (ids, names) for k, (_, ids, names) in enumerate(rows)}
+
+
 def test_urls(spark):
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "com/de/")]
     rows = [(1, "http://A.Example.ORG/es/1?x"), (2, "https://x.org/es/"), (3, "http://notorg/"), (4, None), (5, "x.org/es"), (6, "http://bad-host.net/p/12"), (7, "http://good.net/p/12"), (8, "http://x.org")]
