@@ -2,7 +2,7 @@
 
 Every explained row walks from a background row to itself, one feature at a time in a random order; each step's change in
 the prediction belongs to the feature that moved. Rows, orders and steps are exploded and scored in one batch, so attributions of
-a row add up exactly to its prediction minus the mean background prediction.
+a row add up exactly to its prediction minus the mean prediction of the whole background sample.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from quantloom.operators.explain import deterministic_sample
 
 
 def walks(background: DataFrame, features: Sequence[str], permutations: int, seed: int = 42) -> list[tuple[list[int], list[float | None]]]:
-    """Feature orders paired with background rows; at most 100 background rows are read."""
+    """Feature orders paired with background rows: at least ``permutations`` walks, the same number from each row; at most 100 background rows are read."""
     rows = [[row[f] for f in features] for row in background.select(*features).limit(100).collect()]
     rng = random.Random(seed)
     out = []
-    for i in range(permutations):
+    for i in range(-(-permutations // len(rows)) * len(rows)):
         order = list(range(len(features)))
         rng.shuffle(order)
         places = [0] * len(features)
@@ -59,7 +59,7 @@ def permutation_attributions(model: FittedModel, df: DataFrame, background: Data
     ends = F.when(F.col("_step") > 0, F.struct(name(moved(F.col("_step") - 1)).alias("feature"), F.col("probability").alias("v")))
     starts = F.when(F.col("_step") < width, F.struct(name(moved(F.col("_step"))).alias("feature"), (-F.col("probability")).alias("v")))
     parts = scored.select(*keys, F.inline(F.array_compact(F.array(ends, starts))))
-    return parts.groupBy(*keys, "feature").agg((F.sum("v") / permutations).alias("value"))
+    return parts.groupBy(*keys, "feature").agg((F.sum("v") / len(drawn)).alias("value"))
 
 
 def background_mean(model: FittedModel, background: DataFrame, permutations: int = 20, keys: Sequence[str] = ("ticker", "date"), seed: int = 42) -> DataFrame:

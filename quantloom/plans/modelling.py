@@ -1,17 +1,19 @@
 """Model, calibration, search, out-of-fold and attribution queries.
 
-Settings are lightened (fewer trees) so that a check over all queries stays short; the library defaults are in ``models.specs``.
+Tree models get fewer trees (``FEWER_TREES``) so that a check over all queries stays short; depth, solver and all other settings are those of ``models.specs``.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import rounded
 from quantloom.functions.vocabulary import FUNDAMENTAL, LAG, MACRO, PRICE, SECTOR, SENTIMENT, TECHNICAL
 from quantloom.models import attribution, research, training
-from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, spec_of
+from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, Spec, spec_of
 from quantloom.operators import fundamentals, labels, panel, sentiment, splits, technical
 from quantloom.operators.backtest import daily_portfolio
 from quantloom.operators.explain import top_features
@@ -24,7 +26,8 @@ from quantloom.plans import workflows
 from quantloom.sources import tables
 from quantloom.sources.store import SliceStore
 
-LIGHT = {"maxIter": 3, "numTrees": 5, "maxDepth": 3}
+#: Trees of the boosted, ranking and forest parts of a model; None keeps the number of ``models.specs``. Solvers of logistic parts are never shortened.
+FEWER_TREES: dict[str, int] | None = {"gbt": 3, "ranker": 3, "forest": 5}
 _stored: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -50,8 +53,14 @@ def roles(spark, sf_dir) -> dict[str, DataFrame]:
     return {role: marked.filter(F.col("role") == role).drop("role") for role in ("train", "validation", "test")}
 
 
+def fewer_trees(spec: Spec) -> Spec:
+    name = {"gbt": "maxIter", "ranker": "maxIter", "forest": "numTrees"}
+    few = FEWER_TREES or {}
+    return replace(spec, parts=tuple((kind, {**p, name[kind]: few[kind]} if kind in few else p) for kind, p in spec.parts))
+
+
 def light(model_id):
-    return spec_of(model_id).with_settings(**LIGHT)
+    return fewer_trees(spec_of(model_id))
 
 
 def _model_query(model_id, ids):
@@ -83,14 +92,14 @@ def calibrated_scores(spark, sf_dir):
 @query("pca_logistic", "N12")
 def pca_logistic(spark, sf_dir):
     part = roles(spark, sf_dir)
-    spec = PCA_LOGISTIC.with_features(TECHNICAL + LAG).with_settings(maxIter=50)
+    spec = PCA_LOGISTIC.with_features(TECHNICAL + LAG)
     return training.fit(spec, part["train"]).score(part["test"]).select("ticker", "date", "target", "probability")
 
 
 @query("strategy_groups", "N13 D16")
 def strategy_groups(spark, sf_dir):
     part = roles(spark, sf_dir)
-    return research.group_comparison(part["train"], part["test"], STRATEGY_GROUPS, FOREST.with_settings(**LIGHT))
+    return research.group_comparison(part["train"], part["test"], STRATEGY_GROUPS, fewer_trees(FOREST))
 
 
 @query("feature_ablation", "N16")
@@ -120,14 +129,14 @@ def search_folds(spark, sf_dir):
 @query("cv_fold_metrics", "M12")
 def cv_fold_metrics(spark, sf_dir):
     rows = training_panel(spark, sf_dir)
-    spec = FOREST.with_features(TECHNICAL).with_settings(**LIGHT)
+    spec = fewer_trees(FOREST.with_features(TECHNICAL))
     return research.cv_metrics(rows, splits.walk_forward(rows, 3), "walk_forward", spec)
 
 
 def _primary(spark, sf_dir):
     part = roles(spark, sf_dir)
     rows = part["train"].unionByName(part["validation"])
-    spec = FOREST.with_features(TECHNICAL).with_settings(**LIGHT)
+    spec = fewer_trees(FOREST.with_features(TECHNICAL))
     return part, rows, spec, research.out_of_fold(rows, research.out_of_fold_splits(rows), spec)
 
 
@@ -140,7 +149,7 @@ def out_of_fold(spark, sf_dir):
 @query("meta_gated_backtest", "N18 N19 O8")
 def meta_gated_backtest(spark, sf_dir):
     part, rows, spec, primary = _primary(spark, sf_dir)
-    meta = research.fit_meta(rows, primary, None, TECHNICAL, 0.5, META.with_settings(**LIGHT))
+    meta = research.fit_meta(rows, primary, None, TECHNICAL, 0.5, fewer_trees(META))
     test = training.fit(spec, rows).score(part["test"]).withColumnRenamed("probability", "proba_primary")
     test = meta.score(test).withColumnRenamed("probability", "proba_meta")
     return daily_portfolio(research.gate(test, 0.5), "signal_meta").select("date", "ret", "gross_ret", "signal", "net_ret")
@@ -180,7 +189,7 @@ def training_run(spark, sf_dir):
 @query("feature_importances", "D16 Q9")
 def feature_importances(spark, sf_dir):
     part = roles(spark, sf_dir)
-    spec = FOREST.with_features(TECHNICAL + LAG + PRICE + FUNDAMENTAL + SENTIMENT).with_settings(**LIGHT)
+    spec = fewer_trees(FOREST.with_features(TECHNICAL + LAG + PRICE + FUNDAMENTAL + SENTIMENT))
     return training.fit(spec, part["train"]).importances(spark).orderBy(F.col("importance").desc(), "feature").limit(20)
 
 
@@ -219,10 +228,10 @@ def backtest_fitted_models(spark, sf_dir):
 @query("research_run", "A17 D18 N25 N13 N18 P1 P3")
 def research_run(spark, sf_dir):
     """The whole holdout study with light models; its tables are written as CSV, the model dashboard is returned."""
-    forest = FOREST.with_features(TECHNICAL).with_settings(**LIGHT)
+    forest = fewer_trees(FOREST.with_features(TECHNICAL))
     models = {"logreg_baseline": light("baseline_lr"), "random_forest": forest}
     groups = {k: STRATEGY_GROUPS[k] for k in ("technical_only", "fundamental_strategy")}
-    results = workflows.research_run(training_panel(spark, sf_dir), models=models, primary=forest, meta=META.with_settings(**LIGHT), groups=groups, bootstrap=50)
+    results = workflows.research_run(training_panel(spark, sf_dir), models=models, primary=forest, meta=fewer_trees(META), groups=groups, bootstrap=50)
     folder = scratch_path(spark, "study")
     workflows.write_results(results, folder)
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/dashboard")

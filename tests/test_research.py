@@ -181,3 +181,23 @@ def test_group_comparison_names_absent_features(spark):
     rows = spark.createDataFrame([(0.1, 0.2, 1)], "a double, b double, target int")
     with pytest.raises(ValueError, match="'gone'"):
         research.group_comparison(rows, rows, {"g": ["a", "b", "gone"]})
+
+
+def test_model_queries_shorten_no_solver():
+    from quantloom.models.specs import SPECS
+    from quantloom.plans import modelling
+
+    assert modelling.light("baseline_lr") == SPECS["baseline_lr"]
+    trees = {"gbt": "maxIter", "ranker": "maxIter", "forest": "numTrees"}
+    for name, spec in SPECS.items():
+        for (kind, full), (_, used) in zip(spec.parts, modelling.light(name).parts, strict=True):
+            assert {k: v for k, v in used.items() if k != trees.get(kind)} == {k: v for k, v in full.items() if k != trees.get(kind)}
+
+
+def test_walks_start_from_the_whole_background(spark):
+    from quantloom.models.attribution import walks
+
+    background = spark.createDataFrame([(float(k), -float(k)) for k in range(7)], "a double, b double")
+    for permutations, each in ((3, 1), (7, 1), (8, 2)):
+        starts = [row for _, row in walks(background, ["a", "b"], permutations)]
+        assert sorted(starts) == sorted([[float(k), -float(k)] for k in range(7)] * each)
