@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, jaccard, language, licences, maxent, neardup, packing, private, topk, urls
+from quantloom.llm import align, bestfit, bpe, jaccard, language, licences, maxent, neardup, packing, private, resample, topk, urls
 from quantloom.llm.common import crc_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,24 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = F.coalesce(F.pmod(crc_of("doc_id"), F.lit(5)) != 1, F.lit(False))
     return maxent.score(table(spark, sf_dir, "documents"), learn, held_out(1, 5))
+
+
+@query
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bestfit.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op12_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    made = align.index(table(spark, sf_dir, "documents"), *paths, digest=True)
+    return align.scores(made).withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_resample"] = resample.oracle()

@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from quantloom.llm.ranks import Ranks
+
 MEMO = 450_000  # pieces a Python worker remembers; cleared when full
 LONG = 64  # pieces above so many characters are not remembered
 SEEN = 1 << 23  # flags of the filter that tells pieces met before from new ones; only those are remembered
@@ -32,8 +34,15 @@ class PieceCoder:
     Otherwise (white space dropped) a piece ends at every space. Either way the ids of a text are the ids of its pieces, one after another.
     """
 
-    def __init__(self, path: str, spaced: bool, memo: int = MEMO):
+    def __init__(self, path: str, spaced: bool, memo: int = MEMO, ranks: bool = False, plain: bool = False):
+        """``ranks``: encode simple pieces with the file's own ranks, many at once. ``plain``: the strings of special tokens are ordinary text."""
         self.tokenizer = load(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.ranks = Ranks.of(path) if ranks else None
+        if self.ranks and self.ranks.spaced != spaced:
+            self.ranks = None
+        if self.ranks and plain:
+            self.ranks.special = []
         self.spaced, self.limit = spaced, memo
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes | None] = {}
@@ -57,6 +66,11 @@ class PieceCoder:
             bad = [p for p in todo if not p or p[0].isspace() or p[-1].isspace()]
             self.memo.update(dict.fromkeys(bad))
             todo = [p for p in todo if p and not p[0].isspace() and not p[-1].isspace()]
+        if self.ranks and todo:
+            every = self.ranks.simple(" ".join(todo))
+            easy = todo if every else [p for p in todo if self.ranks.simple(p)]
+            self.memo.update(zip(easy, self.ranks.encode(easy, self.dtype), strict=True))
+            todo = [] if every else [p for p in todo if not self.ranks.simple(p)]
         self.memo.update(zip(todo, self.direct([" " + p for p in todo] if self.spaced else todo), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -94,9 +108,9 @@ class PieceCoder:
             self.memo.clear()
 
 
-def coder(path: str, spaced: bool) -> PieceCoder:
+def coder(path: str, spaced: bool, ranks: bool = False) -> PieceCoder:
     """One coder a Python worker and file; the memo lasts from task to task."""
-    key = (path, spaced)
+    key = (path, spaced, ranks)
     if key not in _CODERS:
-        _CODERS[key] = PieceCoder(path, spaced)
+        _CODERS[key] = PieceCoder(path, spaced, ranks=ranks)
     return _CODERS[key]
