@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.safe import div, pearson
 from quantloom.functions.vocabulary import TRADING_DAYS
 from quantloom.operators.crosssection import positions, share_down, share_up
-from quantloom.operators.ordering import MAX_GROUP_ROWS, average_ranks, largest_group, running_sums, with_position
+from quantloom.operators.ordering import MAX_GROUP_ROWS, average_ranks, positions_and_ranks, running_sums, with_position
 
 
 def sharpe(x: Column | str, ddof: int = 1, periods: float = TRADING_DAYS, on_zero: float | None = None, eps: float = 0.0) -> Column:
@@ -171,9 +171,8 @@ def strategy_evaluation(df: DataFrame, by: Sequence[str] = (), top_frac: float =
         raise ValueError("top_frac must be in (0, 1)")
     score, ret, y, keys = "score", "forward_return", "target", [*by, "date"]
     rows = df.dropna(subset=["date", score, ret, y]).select(*keys, "ticker", score, ret, y)
-    sizes = largest_group(rows, keys)
-    rows = with_position(rows, keys, [F.col(score).desc(), F.col("ticker").asc()], "pos", "n", max_group_rows, sizes)
-    rows = average_ranks(rows, keys, {score: "_rs", ret: "_rr"}, max_group_rows, sizes=sizes)
+
+    rows = positions_and_ranks(rows, keys, [F.col(score).desc(), F.col("ticker").asc()], {score: "_rs", ret: "_rr"}, "pos", "n", max_group_rows)
     r, k, q = F.col(ret), share_down(top_frac), share_up(0.2)
     top = F.col("pos") <= k
     enough = F.count(F.lit(1)) >= 3
