@@ -88,8 +88,12 @@ def _lines(text: Column) -> Column:
 
 
 def distinct_lines(texts: DataFrame, buckets: int, n_min: int, n_max: int) -> DataFrame:
-    """Every distinct line of the column ``text`` that holds a word: (h1, h2, n, words, features, packed): occurrences, words, features inside it and their buckets."""
-    lines = texts.select(F.explode(_lines(F.col("text"))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).select(*_line_keys("line"), "n", "line")
+    """Every distinct line that holds a word, of rows (text, n, m): (h1, h2, n, m, words, features, packed).
+
+    ``n`` and ``m`` add up over the line's occurrences (in documents and in target texts); then its words, its features and their buckets.
+    """
+    lines = texts.select("n", "m", F.explode(_lines(F.col("text"))).alias("line")).groupBy("line").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).select(*_line_keys("line"), "n", "m", "line")
+    kept = ["h1", "h2", "n", "m"]
 
     def run(batches):
         for batch in batches:
@@ -97,9 +101,9 @@ def distinct_lines(texts: DataFrame, buckets: int, n_min: int, n_max: int) -> Da
             for s, e in slices(offs):
                 words, bounds = words_of(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])
                 count, packed = _packed(*runs(words, bounds, buckets, n_min, n_max), e - s)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in ("h1", "h2", "n")), pa.array(np.diff(bounds)), pa.array(count), packed], names=["h1", "h2", "n", "words", "features", "packed"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in kept), pa.array(np.diff(bounds)), pa.array(count), packed], names=[*kept, "words", "features", "packed"])
 
-    return lines.mapInArrow(run, "h1 long, h2 long, n long, words long, features long, packed binary")
+    return lines.mapInArrow(run, "h1 long, h2 long, n long, m long, words long, features long, packed binary")
 
 
 def _crossing(texts: DataFrame, buckets: int, n_min: int, n_max: int) -> DataFrame:
@@ -126,29 +130,26 @@ def _crossing(texts: DataFrame, buckets: int, n_min: int, n_max: int) -> DataFra
     return texts.mapInArrow(run, schema)
 
 
-def _histogram(packed: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, count) of rows (n, packed): packed buckets times ``n``. Every task adds into one array and gives its non-zero entries."""
+def gains(counted: DataFrame, buckets: int) -> np.ndarray:
+    """Gain of every bucket from rows (n, m, packed): packed buckets, ``n`` times in documents and ``m`` times in target texts.
+
+    Every task adds into two arrays of ``buckets`` numbers and gives their non-zero entries; one row per bucket reaches the driver.
+    """
 
     def run(batches):
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros((2, buckets), np.int64)
         for batch in batches:
             raw, offs = text_bytes(batch.column("packed"))
-            at = offs // 4
-            # whole numbers below 2 ** 53 are exact in the sums of bincount
-            total += np.bincount(np.frombuffer(raw.tobytes(), "<u4"), np.repeat(batch.column("n").to_numpy(), np.diff(at)), buckets).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "count"])
-
-    return packed.mapInArrow(run, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
-
-
-def gains(source: DataFrame, target: DataFrame, buckets: int) -> np.ndarray:
-    """Gain of every bucket from the counts (bucket, count) of documents and target; ``buckets`` rows reach the driver."""
-    spark = source.sparkSession
-    both = spark.range(buckets).withColumnRenamed("id", "bucket").join(source.withColumnRenamed("count", "s"), "bucket", "left").join(target.withColumnRenamed("count", "t"), "bucket", "left").fillna(0, ["s", "t"])
-    rows = both.collect()
-    s, t = (np.zeros(buckets) for _ in range(2))
-    for r in rows:
+            bucket, each = np.frombuffer(raw.tobytes(), "<u4"), np.diff(offs // 4)
+            for k, c in enumerate(("n", "m")):
+                # whole numbers below 2 ** 53 are exact in the sums of bincount
+                total[k] += np.bincount(bucket, np.repeat(batch.column(c).to_numpy(), each), buckets).astype(np.int64)
+        some = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, total[:, some])], names=["bucket", "s", "t"])
+
+    found = counted.mapInArrow(run, "bucket long, s long, t long").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    s, t = np.zeros(buckets), np.zeros(buckets)
+    for r in found.collect():
         s[r["bucket"]], t[r["bucket"]] = r["s"], r["t"]
     return np.floor(1000 * np.log((t + 1) * (s.sum() + buckets) / ((s + 1) * (t.sum() + buckets)))).astype(np.int64)
 
@@ -172,23 +173,22 @@ def weights(docs: DataFrame, target: DataFrame, buckets: int = 10_000, n_min: in
     """One row per document row: (doc_id, n_features, n_words, weight)."""
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     aims = target.select(F.col(text).alias("text"))
-    lines = stored(distinct_lines(rows, buckets, n_min, n_max), "resample-lines")
-    cross = n_max > 1
+    one, none, cross = F.lit(1).cast("long"), F.lit(0).cast("long"), n_max > 1
+    both = rows.select("text", one.alias("n"), none.alias("m")).unionByName(aims.select("text", none.alias("n"), one.alias("m")))
+    lines = stored(distinct_lines(both, buckets, n_min, n_max), "resample-lines")
     base = (_crossing(rows, buckets, n_min, n_max) if cross else rows.withColumn("crossing", F.lit(None).cast("binary"))).withColumn("uid", F.monotonically_increasing_id())
     placed = base.select("uid", "doc_id", "crossing", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     h1, h2 = _line_keys("line")
     lined = F.col("line").isNotNull()
     uses = stored(placed.select("uid", "doc_id", F.when(lined, h1).alias("h1"), F.when(lined, h2).alias("h2"), F.when(first, F.col("crossing")).alias("crossing")), "resample-uses")
-    counted = lines.select("n", "packed")
-    wanted = distinct_lines(aims, buckets, n_min, n_max).select("n", "packed")
+    counted = lines.select("n", "m", "packed")
     if cross:
-        spanning = lambda df, c: df.filter(F.length(c) > 0).select(F.lit(1).cast("long").alias("n"), F.col(c).alias("packed"))
-        counted = counted.unionByName(spanning(uses, "crossing"))
-        wanted = wanted.unionByName(spanning(_crossing(aims, buckets, n_min, n_max), "crossing"))
-    gain = gains(_histogram(counted, buckets), _histogram(wanted, buckets), buckets)
+        spanning = lambda df, n, m: df.filter(F.length("crossing") > 0).select(n.alias("n"), m.alias("m"), F.col("crossing").alias("packed"))
+        counted = counted.unionByName(spanning(uses, one, none)).unionByName(spanning(_crossing(aims, buckets, n_min, n_max), none, one))
+    gain = gains(counted, buckets)
 
-    scored = _summed(lines.select("h1", "h2", "n", "words", "features", "packed"), gain)
+    scored = _summed(lines.filter("n > 0").select("h1", "h2", "n", "words", "features", "packed"), gain)
     total = lines.agg(F.sum("n")).first()[0] or 0
     values = [F.col(c) for c in ("words", "features", "gain")]
     hot = scored.filter(F.col("n") * HOT_SHARE > total).select("h1", "h2", F.struct(*values).alias("hot"))  # fewer than HOT_SHARE lines
