@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.vocabulary import LAG, TECHNICAL
 from quantloom.models import research, training
 from quantloom.models.specs import FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, Spec, spec_of
-from quantloom.operators import backtest, fundamentals, inference, metrics, quality, sentiment, splits, summaries, technical
+from quantloom.operators import backtest, fundamentals, incremental, inference, metrics, quality, sentiment, splits, summaries
 from quantloom.operators.merge import stack
 from quantloom.operators.projections import forecast_probability, signal
 from quantloom.sources import store as tables_at_rest
@@ -22,16 +22,45 @@ from quantloom.sources.store import SliceStore
 THRESHOLDS = [0.45 + 0.005 * i for i in range(31)]
 
 
-def refresh(store: SliceStore, universe: DataFrame, increment: DataFrame, snapshot: DataFrame, scored_news: DataFrame, run_id: str, lineage_path: str | None = None) -> DataFrame:
-    """Merge new bars, rebuild the three slices of every ticker that passes the checks, record lineage."""
+def refresh(store: SliceStore, universe: DataFrame, increment: DataFrame, snapshot: DataFrame, scored_news: DataFrame, run_id: str, lineage_path: str | None = None, window: int = 3) -> DataFrame:
+    """Merge new bars, bring the slices of the tickers that changed up to date, record lineage.
+
+    Change propagation: bars that equal the stored ones change nothing. Per changed ticker the technical slice is recomputed from its first changed day
+    (``operators/incremental.py``), fundamentals and sentiment are merged into what is stored and never replaced by NULL or by zeros for lack of a snapshot or of older news.
+    Articles are kept scored, so that a window over old and new ones is whole. Buckets without a touched ticker are neither read nor written.
+    """
     lineage = quality.refresh_lineage(universe, increment, run_id)
     good = lineage.filter(F.col("status") == "completed").select("ticker")
-    store.merge("bars", increment.join(good, "ticker", "left_semi"))
-    bars = store.load("bars")
-    store.save("technical", technical.technical(bars))
-    dates = bars.select("ticker", "date")
-    store.save("fundamental", fundamentals.daily_static(dates, fundamentals.ratios(snapshot)))
-    store.save("sentiment", sentiment.rolling_features(scored_news, dates))
+    fixed = lambda df: training.stored(df, "refresh")  # noqa: E731 - small tables that several steps read
+    new = fixed(increment.join(good, "ticker", "left_semi"))
+    first = fixed(incremental.first_changes(store.load_tickers("bars", new), new))
+    store.merge("bars", new.join(first, "ticker").filter(F.col("date") >= F.col("first")).drop("first"))
+    bars = store.load_tickers("bars", first)
+    if bars is not None:
+        rows, state = incremental.split_state(fixed(incremental.technical_from(bars, first, store.load_tickers("state", first))))
+        store.replace_from("technical", rows, first)
+        store.replace_from("state", state, first)
+
+    ratios = fixed(fundamentals.ratios(snapshot))
+    either = fixed(first.select("ticker").unionByName(ratios.select("ticker")).distinct())
+    dates = store.load_tickers("bars", either)
+    if dates is not None:
+        store.merge("fundamental", incremental.fundamental_changes(dates, store.load_tickers("fundamental", either), ratios, first))
+
+    texts = [c for c in scored_news.columns if c not in ("ticker", "day")]
+    articles = scored_news.withColumn("date", F.col("day")).withColumn("article", F.sha2(F.to_json(F.struct(*texts)), 256)).select("ticker", "date", "article", "day", "score", "label")
+    known = store.load_tickers("articles", articles)
+    fresh = fixed(articles if known is None else articles.join(known.select("ticker", "date", "article"), ["ticker", "date", "article"], "left_anti"))
+    store.merge("articles", fresh, ("ticker", "date", "article"))
+    either = fixed(first.select("ticker").unionByName(fresh.select("ticker")).distinct())
+    dates = store.load_tickers("bars", either)
+    if dates is not None:
+        days = fixed(incremental.sentiment_days(dates, first, fresh, window))
+        held = store.load_tickers("articles", days)
+        if held is None:
+            held = fresh
+        near = held.select("ticker", "day", "score", "label", "date")
+        store.merge("sentiment", sentiment.rolling_features(near, days, window))
     if lineage_path:
         tables_at_rest.append_lineage(lineage, lineage_path)
     return lineage
