@@ -132,7 +132,7 @@ def _layer(path: str, length: int, end_id: int):
     """Lay the sorted documents of a partition end to end."""
 
     def run(batches):
-        words = coder(path, spaced=True)
+        words = coder(path, spaced=True, ranks=True)
         part, used = None, 0  # tokens laid so far in this partition
         end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
@@ -154,5 +154,6 @@ def _layer(path: str, length: int, end_id: int):
                             c.append(v)
                         at, used = at + take, used + take
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names=[f.name for f in _SCHEMA])
+        words.release()
 
     return run

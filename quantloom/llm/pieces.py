@@ -10,6 +10,7 @@ import numpy as np
 from quantloom.llm.ranks import Ranks
 
 MEMO = 450_000  # pieces a Python worker remembers; cleared when full
+RANKS_MEMO = 150_000  # the same where new pieces are encoded by ranks, which costs little
 LONG = 64  # pieces above so many characters are not remembered
 SEEN = 1 << 23  # flags of the filter that tells pieces met before from new ones; only those are remembered
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -34,7 +35,7 @@ class PieceCoder:
     Otherwise (white space dropped) a piece ends at every space. Either way the ids of a text are the ids of its pieces, one after another.
     """
 
-    def __init__(self, path: str, spaced: bool, memo: int = MEMO, ranks: bool = False, plain: bool = False):
+    def __init__(self, path: str, spaced: bool, memo: int | None = None, ranks: bool = False, plain: bool = False):
         """``ranks``: encode simple pieces with the file's own ranks, many at once. ``plain``: the strings of special tokens are ordinary text."""
         self.tokenizer = load(path)
         self.tokenizer.encode_special_tokens = plain
@@ -43,7 +44,7 @@ class PieceCoder:
             self.ranks = None
         if self.ranks and plain:
             self.ranks.special = []
-        self.spaced, self.limit = spaced, memo
+        self.spaced, self.limit = spaced, memo or (RANKS_MEMO if self.ranks else MEMO)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes | None] = {}
         self.met = bytearray(SEEN)
@@ -108,6 +109,12 @@ class PieceCoder:
             self.memo.clear()
 
 
+    def release(self) -> None:
+        """Forget all pieces: the worker may go on with another stage."""
+        self.memo.clear()
+        self.met = bytearray(SEEN)
+
+
 def coder(path: str, spaced: bool, ranks: bool = False) -> PieceCoder:
     """One coder a Python worker and file; the memo lasts from task to task."""
     key = (path, spaced, ranks)
