@@ -30,6 +30,7 @@ from quantloom.llm.common import annotate, mix, slices, text_bytes
 
 GRAM_BITS = 22  # n-grams are 4 bytes of lower-case UTF-8, hashed to so many bits
 HASHES = 3
+HELD_GRAMS = 2_000_000  # distinct n-grams with counts that a task keeps
 SPACE = 0x20
 LEAST_GRAMS, LEAST_ROWS = 50, 100
 
@@ -86,32 +87,42 @@ def _slots(g: np.ndarray, m: int) -> list[np.ndarray]:
     return [((h >> np.uint64(20 * k)) & np.uint64(m - 1)).astype(np.int64) for k in range(HASHES)]
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of several parts with their counts added."""
+    g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    at, inv = np.unique(g, return_inverse=True)
+    return at, np.bincount(inv, n, len(at)).astype(np.int64)
+
+
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = 1e-5, share: float = 0.2) -> LanguageModel:
     """Learn from all rows with a language. A language holds an n-gram whose rate is at least ``min_rate`` and ``share`` of the highest rate."""
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     schema = "lang string, gram int, n long"
 
     def count(batches):
-        tally: dict[str, np.ndarray] = {}
+        tally: dict[str, list] = {}  # per language distinct n-grams with counts, from several slices
+        held = 0
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             low = _lower(batch.column("text"))
             for name in set(langs.tolist()):
                 raw, offs = text_bytes(low.filter(pa.array(langs == name)))
                 for s, e in slices(offs):
-                    g, _ = grams(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])
-                    if name not in tally:
-                        tally[name] = np.zeros(1 << GRAM_BITS, np.int32)
-                    tally[name] += np.bincount(g, minlength=1 << GRAM_BITS).astype(np.int32)
-            if len(tally) > 16:  # many languages in one task: hand over and start again
-                yield from _rows(tally)
-                tally = {}
+                    found = np.unique(grams(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])[0], return_counts=True)
+                    tally.setdefault(name, []).append(found)
+                    held += len(found[0])
+                    if held > HELD_GRAMS:
+                        tally = {k: [_summed(v)] for k, v in tally.items()}
+                        held = sum(len(v[0][0]) for v in tally.values())
+                        if held > HELD_GRAMS // 2:  # too many languages or n-grams: hand over and start again
+                            yield from _rows(tally)
+                            tally, held = {}, 0
         yield from _rows(tally)
 
     def _rows(tally):
-        for name, t in tally.items():
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(t[at].astype(np.int64))], names=["lang", "gram", "n"])
+        for name, parts in tally.items():
+            at, n = _summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = rows.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
@@ -120,12 +131,12 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
         return LanguageModel([], 0, np.zeros((1, 2), np.uint64), np.zeros(0))
     langs = sorted(totals)
     least = F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(max(2.0, min_rate * v)))]), F.col("lang"))
-    kept = counts.filter(F.col("n") >= least).collect()  # at most languages / min_rate rows
+    kept = counts.filter(F.col("n") >= least).toArrow()  # at most languages / min_rate rows, packed
     counts.unpersist()
     spot = {k: i for i, k in enumerate(langs)}
-    who = np.array([spot[r["lang"]] for r in kept], np.int64)
-    gram = np.array([r["gram"] for r in kept], np.int64)
-    rate = np.array([r["n"] / totals[r["lang"]] for r in kept])
+    who = np.array([spot[x] for x in kept["lang"].to_pylist()], np.int64)
+    gram = kept["gram"].to_numpy().astype(np.int64)
+    rate = kept["n"].to_numpy() / np.array([totals[k] for k in langs], float)[who]
     top = np.zeros(1 << GRAM_BITS)
     np.maximum.at(top, gram, rate)
     inside = rate >= share * top[gram] if len(gram) else np.zeros(0, bool)
