@@ -70,19 +70,29 @@ def block_start(seed: int, rep: Column, block: Column, n: Column) -> Column:
 def block_bootstrap(series: DataFrame, value: str, reps: int = 2000, block: int = 5, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """One-sided p-value that the mean exceeds zero by a circular block bootstrap.
 
-    Replicate positions are generated and joined to the position-indexed daily series; work is reps x days, spread over replicates.
+    Every daily series (bounded by the calendar) becomes one array of running sums. The sum of a block is the difference of two
+    of its entries, so a replicate is n / block differences and no row is drawn, joined or shuffled by position; replicates are spread over the tasks.
     """
     w = _axis(by)
-    x = series.filter(finite(value).isNotNull()).select(
-        *by, F.col(value).alias("x"), (F.row_number().over(w.orderBy("date")) - 1).cast("long").alias("pos")
-    )
-    stats = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("observed_mean"))
-    enough = stats.filter(F.col("n") >= 3 * block)
-    draws = enough.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    draws = draws.repartition(*by, "rep").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    start = block_start(seed, F.col("rep"), F.floor(F.col("i") / block).cast("long"), F.col("n"))
-    picks = draws.select(*by, "rep", ((start + F.col("i") % block) % F.col("n")).alias("pos"))
-    means = picks.join(x, [*by, "pos"]).groupBy(*by, "rep").agg(F.avg("x").alias("mean"))
+    x = series.filter(finite(value).isNotNull()).select(*by, "date", F.col(value).cast("double").alias("x"))
+    # centred on the mean, so that a difference of running sums does not lose digits
+    x = x.withColumn("_gap", F.col("x") - F.avg("x").over(w))
+    x = x.withColumn("_sum", F.sum("_gap").over(w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("observed_mean"), F.array_sort(F.collect_list(F.struct("date", "_sum"))).alias("_rows"))
+    sums = F.concat(F.array(F.lit(0.0)), F.transform("_rows", lambda r: r["_sum"]))
+    stats = x.select(*by, "n", "observed_mean")
+    enough = x.filter(F.col("n") >= 3 * block).select(*by, "n", "observed_mean", sums.alias("_sums"))
+    draws = enough.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block).cast("long"))
+
+    def gained(total: Column, b: Column) -> Column:
+        start = block_start(seed, F.col("rep"), b, F.col("n"))
+        stop = start + F.least(F.lit(block).cast("long"), F.col("n") - b * block)  # the last block is cut
+        at = lambda i: F.get(F.col("_sums"), i.cast("int"))
+        wrapped = F.when(stop > F.col("n"), at(F.col("n")) + at(stop - F.col("n"))).otherwise(at(stop))
+        return total + wrapped - at(start)
+
+    means = draws.select(*by, (F.col("observed_mean") + F.aggregate(blocks, F.lit(0.0), gained) / F.col("n")).alias("mean"))
     keys = list(by)
     if not keys:
         keys, means, stats = ["_one"], means.withColumn("_one", F.lit(1)), stats.withColumn("_one", F.lit(1))

@@ -6,10 +6,10 @@ the calendar; panels meet them through an equi-join on date.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,12 +124,12 @@ def block_ranges(axis: DataFrame, groups: int) -> DataFrame:
 
 
 def combinations(groups: int, test_groups: int, max_splits: int | None, seed: int) -> list[tuple[int, ...]]:
-    """Test-block combinations, a seeded sample when there are more than ``max_splits``."""
-    combos = list(itertools.combinations(range(groups), test_groups))
-    if max_splits is not None and len(combos) > max_splits:
-        picks = np.random.default_rng(seed).choice(len(combos), size=max_splits, replace=False)
-        combos = [combos[i] for i in picks]
-    return combos
+    """Test-block combinations; of more than ``max_splits`` those with the smallest hashes, which any engine can repeat."""
+    every = list(itertools.combinations(range(groups), test_groups))
+    if max_splits is None or len(every) <= max_splits:
+        return every
+    digest = lambda c: hashlib.sha256(f"{seed}:{','.join(map(str, c))}".encode()).hexdigest()
+    return sorted(sorted(every, key=digest)[:max_splits])
 
 
 def combinatorial_purged(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +52,63 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _inline(one, rows)
 
 
+def _merged(parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and co-moments of all parts, merged pairwise (Chan, Golub and LeVeque)."""
+    n, mean, moment = 0, 0.0, 0.0
+    for m, other, more in parts:
+        if m:
+            step = other - mean
+            moment = moment + more + np.outer(step, step) * (n * m / (n + m))
+            mean, n = mean + step * (m / (n + m)), n + m
+    return n, mean, moment
+
+
+def gram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row over the rows that have all ``columns``: (n, means, moments), the co-moments about the means as a p x p matrix by rows.
+
+    Every task folds its batches into one matrix; the matrices of 64 groups of tasks are merged, then those. Nothing grows with p squared but the matrix itself.
+    """
+    columns, groups = list(columns), 64
+    p, schema = len(columns), "bucket int, n long, means array<double>, moments array<double>"
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+
+    def row(bucket: int, n: int, mean, moment) -> pa.RecordBatch:
+        if not n:
+            mean, moment = np.zeros(p), np.zeros((p, p))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": [n], "means": [mean.tolist()], "moments": [moment.ravel().tolist()]})
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                mean = x.mean(axis=0) if len(x) else np.zeros(p)
+                yield len(x), mean, (x - mean).T @ (x - mean)
+
+        yield row(TaskContext.get().partitionId() % groups, *_merged(parts()))
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        found = _merged((n, np.array(m), np.array(c).reshape(p, p)) for n, m, c in zip(rows["n"], rows["means"], rows["moments"], strict=True))
+        return pa.Table.from_batches([row(0, *found)])
+
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    none = df.sparkSession.range(1).select(F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n"), zeros(p).alias("means"), zeros(p * p).alias("moments"))
+    some = numbers.mapInArrow(fold, schema).groupBy("bucket").applyInArrow(merge, schema).unionByName(none)  # an empty frame has a row as well
+    return some.groupBy("bucket").applyInArrow(merge, schema).drop("bucket")
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle of the correlation matrix over complete rows, one pass."""
-    pairs = list(combinations(columns, 2))
-    one = df.dropna(subset=list(columns)).agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return _inline(one, [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
+    """Upper triangle of the correlation matrix over complete rows, one pass over packed co-moments (D5); NULL beside a constant column."""
+    columns = list(columns)
+    p, one = len(columns), gram(df, columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    rows = one.select("*", F.explode(pairs).alias("_at")) if p > 1 else one.select("*", F.lit(None).cast("struct<i:int,j:int>").alias("_at")).limit(0)
+    at = lambda i, j: F.get("moments", F.col(f"_at.{i}") * p + F.col(f"_at.{j}"))
+    # a constant column can leave rounding dust in its variance, so compare with its own scale
+    flat = lambda i: F.sqrt(at(i, i) / F.col("n")) <= F.lit(1e-14) * F.abs(F.get("means", F.col(f"_at.{i}")))
+    r = F.when((F.col("n") > 0) & ~flat("i") & ~flat("j"), div(at("i", "j"), F.sqrt(at("i", "i")) * F.sqrt(at("j", "j"))))
+    return rows.select(F.get(names, F.col("_at.i")).alias("feature_a"), F.get(names, F.col("_at.j")).alias("feature_b"), r.alias("r"))
 
 
 def strong_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.85) -> DataFrame:
@@ -129,11 +183,10 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "
 
 
 def service_levels(lineage: DataFrame, bars: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Batch success share, share of tickers at the last market day, dead-letter share."""
+    """Batch success share, share of tickers at the last market day, dead-letter share (D20); each table is read once, no action before the result."""
     success = lineage.agg(F.avg((F.col("status") == "completed").cast("double")).alias("value")).withColumn("indicator", F.lit("batch_success"))
-    last = bars.groupBy("ticker").agg(F.max("date").alias("d"))
-    newest = bars.agg(F.max("date").alias("m")).first()["m"]  # one value
-    fresh = last.agg(F.avg((F.col("d") == F.lit(newest)).cast("double")).alias("value")).withColumn("indicator", F.lit("bar_freshness"))
+    last = bars.groupBy("ticker").agg(F.max("date").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))  # tickers by last day
+    fresh = last.agg((F.max_by("n", "d") / F.sum("n")).alias("value")).withColumn("indicator", F.lit("bar_freshness"))
     dead = jobs.agg(F.avg(F.coalesce(is_dead_letter(), F.lit(False)).cast("double")).alias("value")).withColumn("indicator", F.lit("dead_letter"))
     return success.unionByName(fresh).unionByName(dead).select("indicator", "value")
 

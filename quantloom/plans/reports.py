@@ -52,6 +52,16 @@ def correlations(spark, sf_dir):
     return rounded(summaries.correlations(indicators(spark, sf_dir), FEATURES))
 
 
+WIDE = ["open", "high", "low", "close", "volume", "returns", "volatility", "rsi", "sma_20", "sma_50", "sma_200", "bb_upper", "bb_lower", "bb_width", "momentum"]
+_WIDE = " and ".join(f"{c} is not null" for c in WIDE)
+view("wide_pairs", f"with complete as materialized (select * from tech where {_WIDE}) " + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, corr({a},{b}) as r from complete" for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]))
+
+
+@query("correlation_matrix", "D5", f"select feature_a, feature_b, {r('r')} as r from wide_pairs")
+def correlation_matrix(spark, sf_dir):
+    return rounded(summaries.correlations(indicators(spark, sf_dir), WIDE))
+
+
 @query("strong_pairs", "D5", f"select feature_a, feature_b, {r('r')} as r from pairs where abs(r)>0.3")
 def strong_pairs(spark, sf_dir):
     return rounded(summaries.strong_pairs(indicators(spark, sf_dir), FEATURES, 0.3))

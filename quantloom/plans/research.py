@@ -90,17 +90,21 @@ def cv_blocks(spark, sf_dir):
     return out.groupBy("block").agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
-@query("cv_combinatorial", "L9 L10 C11 G6 G7", """with combos as (select a.g as g1, b.g as g2, row_number() over (order by a.g,b.g)-1 as fold from generate_series(0,7) a(g), generate_series(0,7) b(g) where a.g<b.g),
+_CPCV = """with every as (select a.g as g1, b.g as g2, sha256('42:' || a.g || ',' || b.g) as h from generate_series(0,7) a(g), generate_series(0,7) b(g) where a.g<b.g),
+    combos as (select g1, g2, row_number() over (order by g1, g2)-1 as fold from (select * from every order by h limit {n}) t),
     span as (select fold, min(i) as lo, max(i) as hi from combos join blocks on block in (g1,g2) group by 1),
     roles as (select c.fold, date, case when block in (g1,g2) then 'test' when not (i<=least(n-1,hi+5) and least(i+1,n-1)>=greatest(0,lo-5)) then 'train' end as role
       from combos c join span s on s.fold=c.fold cross join blocks),
     kept as (select *, count(*) filter (role='train') over (partition by fold) as tr, count(*) filter (role='test') over (partition by fold) as te from roles where role is not null)
-    select cast(fold as int) as fold, date, role from kept where tr>=30 and te>=5""")
+    {out} from kept where tr>=30 and te>=5"""
+
+
+@query("cv_combinatorial", "L9 L10 C11 G6 G7", _CPCV.format(n=28, out="select cast(fold as int) as fold, date, role"))
 def cv_combinatorial(spark, sf_dir):
     return splits.combinatorial_purged(bar_dates(spark, sf_dir), max_splits=None)
 
 
-@query("cv_combinatorial_sampled", "L10")
+@query("cv_combinatorial_sampled", "L10", _CPCV.format(n=12, out="select cast(fold as int) as fold, role, count(*) as n") + " group by 1, 2")
 def cv_combinatorial_sampled(spark, sf_dir):
     return splits.combinatorial_purged(bar_dates(spark, sf_dir), max_splits=12).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
