@@ -20,7 +20,7 @@ from quantloom.operators.explain import top_features
 from quantloom.operators.metrics import classification, ranking_quality
 from quantloom.plans.features import scored_news
 from quantloom.plans.inputs import scored
-from quantloom.plans.registry import query, r
+from quantloom.plans.registry import query, r, view
 from quantloom.session import scratch_path
 from quantloom.plans import workflows
 from quantloom.sources import tables
@@ -193,13 +193,40 @@ def feature_importances(spark, sf_dir):
     return training.fit(spec, part["train"]).importances(spark).orderBy(F.col("importance").desc(), "feature").limit(20)
 
 
+view("ready_rows", """select ticker, date from (select *, lead(returns) over (partition by ticker order by date) as ahead from tech) t
+    where ahead is not null and returns is not null and volatility is not null and rsi is not null and momentum is not null and bb_width is not null""")
+view("ready_axis", "select date, row_number() over (order by date)-1 as i, count(*) over () as n from (select distinct date from ready_rows) d")
+view("fresh_panel", """select r.ticker, r.date from ready_rows r join ready_axis a using (date)
+    where i >= greatest(greatest(5, least(floor(0.7e0*n), n-10))+3, least(floor(0.85e0*n), n-3))""")
+
+
+def _explained(spark, sf_dir):
+    """A boosted model over all technical features, the newest row of every ticker and the background rows."""
+    part = roles(spark, sf_dir)
+    model = training.fit(light("model_a"), part["train"])
+    return model, technical.latest_indicators(part["test"], list(model.spec.features)), part["train"]
+
+
 @query("tree_attributions", "Q2 Q3 Q5")
 def tree_attributions(spark, sf_dir):
-    part = roles(spark, sf_dir)
-    spec = light("model_a").with_features(["returns", "rsi", "volatility", "bb_width"])
-    model = training.fit(spec, part["train"])
-    newest = technical.latest_indicators(part["test"], list(spec.features))
-    return top_features(attribution.permutation_attributions(model, newest, part["train"], permutations=6), 4)
+    return top_features(attribution.tree_attributions(*_explained(spark, sf_dir)), 4)
+
+
+@query("tree_attribution_sums", "Q2 Q7", """with ready as (select ticker, max(date) as date from fresh_panel group by 1)
+    select ticker, date, 13 as features, 0.0e0 as gap from ready""")
+def tree_attribution_sums(spark, sf_dir):
+    """What is left of prediction less base after all attributions: nothing."""
+    model, newest, background = _explained(spark, sf_dir)
+    sums = attribution.tree_attributions(model, newest, background).groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("features"), F.sum("value").alias("_total"))
+    base = attribution.tree_base(model, background).first()["base_value"]  # one value
+    both = attribution.explained(model, newest).select("ticker", "date", "explained").join(sums, ["ticker", "date"])
+    return both.select("ticker", "date", "features", F.round(F.abs(F.col("explained") - F.lit(base) - F.col("_total")), 9).alias("gap"))
+
+
+@query("tree_base_value", "Q7")
+def tree_base_value(spark, sf_dir):
+    model, _, background = _explained(spark, sf_dir)
+    return attribution.tree_base(model, background)
 
 
 @query("fold_auc", "Q8")
