@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -69,25 +70,54 @@ def drop_duplicate_articles(articles: DataFrame, delay: str = "3 days") -> DataF
 
 
 INDICATOR_SCHEMA = "ticker string, date date, last double, ema12 double, ema26 double, macd double, n long"
-_STATE = "date date, last double, ema12 double, ema26 double, n long"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    date, last, fast, slow, n = state.get if state.exists else (None, None, None, None, 0)
-    rows = pd.concat(list(batches)).sort_values("date")
-    if date is not None:
-        rows = rows[rows["date"] > date]  # a replay, or older than the state
-    if len(rows):
-        close = rows["close"].to_numpy()
-        ema = lambda before, span: pd.Series(close if n == 0 else [before, *close]).ewm(alpha=span_alpha(span), adjust=False).mean().iloc[-1]
-        date, last, fast, slow, n = rows["date"].iloc[-1], float(close[-1]), float(ema(fast, 12)), float(ema(slow, 26)), n + len(rows)
-        state.update((date, last, fast, slow, n))
-    yield pd.DataFrame({"ticker": [key[0]], "date": [date], "last": [last], "ema12": [fast], "ema26": [slow], "macd": [fast - slow], "n": [n]})
-
-
-def live_indicators(bars: DataFrame) -> DataFrame:
-    """Newest close, EMAs and MACD of every ticker in constant-size state, fed by new daily bars.
+_STATE = "fast double, slow double, n long, upto long, days array<long>, closes array<double>"
+RING = 64  # newest bars of a ticker that may still be corrected
+SPANS = (12, 26)
+
+
+def _means(before: list[float], n: int, closes: list[float]) -> list[float]:
+    """Exponential means after ``closes``, going on from ``before``, the means of ``n`` earlier closes."""
+    out = []
+    for mean, span in zip(before, SPANS, strict=True):
+        a = span_alpha(span)
+        for k, x in enumerate(closes):
+            mean = x if n + k == 0 else (1 - a) * mean + a * x
+        out.append(mean)
+    return out
+
+
+def _advance(ring: int, expiry_ms: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    fast, slow, n, upto, days, closes = state.get if state.exists else (0.0, 0.0, 0, None, [], [])
+    held = dict(zip(days, closes, strict=True))
+    rows = pd.concat(list(batches))
+    for day, close in zip(pd.to_datetime(rows["date"]).astype("datetime64[s]").astype("int64") // 86_400, rows["close"], strict=True):
+        if close == close and (upto is None or day > upto):  # not older than what the ring has left behind
+            held[int(day)] = float(close)
+    order = sorted(held)
+    gone, kept = order[: max(0, len(order) - ring)], order[max(0, len(order) - ring) :]
+    if gone:
+        fast, slow = _means([fast, slow], n, [held[d] for d in gone])
+        n, upto = n + len(gone), gone[-1]
+    state.update((fast, slow, n, upto, kept, [held[d] for d in kept]))
+    if expiry_ms:
+        state.setTimeoutDuration(expiry_ms)
+    if kept:
+        now = _means([fast, slow], n, [held[d] for d in kept])
+        last = pd.Timestamp(kept[-1] * 86_400, unit="s").date()
+        yield pd.DataFrame({"ticker": [key[0]], "date": [last], "last": [held[kept[-1]]], "ema12": [now[0]], "ema26": [now[1]], "macd": [now[0] - now[1]], "n": [n + len(kept)]})
+
+
+def live_indicators(bars: DataFrame, ring: int = RING, expiry_days: int = 0) -> DataFrame:
+    """Newest close, EMAs and MACD of every ticker in constant-size state, fed by daily bars, late and corrected ones included.
+
+    The state is the ``ring`` newest bars and the means of all bars before them. A bar inside the ring replaces the one of its day, or takes its place among them, and the
+    means are run again from the ring's start; a repeated bar changes nothing; an older bar than the ring holds comes too late. With ``expiry_days`` a
+    ticker without bars for so many days (processing time) is forgotten; such a stream waits for its timers, so it runs until it is stopped, whatever its trigger. Of several rows of one day in a batch the last counts; NULL and NaN closes do not count.
 
     It takes bars, not ticks: a ticker adds one row a day, so what one task sees of it is bounded by the calendar.
     """
-    return bars.groupBy("ticker").applyInPandasWithState(_advance, INDICATOR_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expiry_days else GroupStateTimeout.NoTimeout
+    return bars.groupBy("ticker").applyInPandasWithState(partial(_advance, ring, expiry_days * 86_400_000), INDICATOR_SCHEMA, _STATE, "update", timeout)
