@@ -94,6 +94,11 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return at, np.bincount(inv, n, len(at)).astype(np.int64)
 
 
+def _pack(rows: pa.Table) -> pa.Table:
+    """All n-grams of one language as one row."""
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "grams": [rows.column("gram").to_numpy().astype(np.int32).tobytes()], "counts": [rows.column("n").to_numpy().astype(np.int64).tobytes()]}, pa.schema({"lang": pa.string(), "grams": pa.binary(), "counts": pa.binary()}))
+
+
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = 1e-5, share: float = 0.2) -> LanguageModel:
     """Learn from all rows with a language. A language holds an n-gram whose rate is at least ``min_rate`` and ``share`` of the highest rate."""
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -131,12 +136,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
         return LanguageModel([], 0, np.zeros((1, 2), np.uint64), np.zeros(0))
     langs = sorted(totals)
     least = F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(max(2.0, min_rate * v)))]), F.col("lang"))
-    kept = counts.filter(F.col("n") >= least).toArrow()  # at most languages / min_rate rows, packed
+    kept = counts.filter(F.col("n") >= least).groupBy("lang").applyInArrow(_pack, "lang string, grams binary, counts binary").collect()  # one row per language, at most 1 / min_rate n-grams in each
     counts.unpersist()
     spot = {k: i for i, k in enumerate(langs)}
-    who = np.array([spot[x] for x in kept["lang"].to_pylist()], np.int64)
-    gram = kept["gram"].to_numpy().astype(np.int64)
-    rate = kept["n"].to_numpy() / np.array([totals[k] for k in langs], float)[who]
+    packed = [(spot[r["lang"]], np.frombuffer(r["grams"], np.int32), np.frombuffer(r["counts"], np.int64)) for r in kept]
+    none = np.zeros(0, np.int64)
+    who = np.concatenate([none, *[np.full(len(g), i) for i, g, _ in packed]])
+    gram = np.concatenate([none, *[g for _, g, _ in packed]])
+    rate = np.concatenate([none, *[n for _, _, n in packed]]) / np.array([totals[k] for k in langs], float)[who]
     top = np.zeros(1 << GRAM_BITS)
     np.maximum.at(top, gram, rate)
     inside = rate >= share * top[gram] if len(gram) else np.zeros(0, bool)
