@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.models.training import stored
 from quantloom.operators.projections import signal
 from quantloom.operators.technical import base_indicators, by_date
 from quantloom.sources import tables
@@ -18,8 +19,21 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_indicators(tables.bars(spark, sf_dir))
 
 
+_panels: dict[tuple[str, str], DataFrame] = {}
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, date, close, score, ret_1d, forward_return, target)."""
+    """(ticker, date, close, score, ret_1d, forward_return, target), written once per session and scale.
+
+    Evaluation looks at its panel several times (large groups, splitters, blocks), so it runs on a stored one, as in ``workflows``.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _panels:
+        _panels[key] = stored(_scored(spark, sf_dir), "scored-panel")
+    return _panels[key]
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     ahead = F.lead("returns", 1).over(by_date())
     return (
         indicators(spark, sf_dir)
