@@ -28,7 +28,7 @@ WINDOW, MEAN_BITS = 16, 10  # bytes of the rolling hash; a chunk is about 2 ** M
 TABLE_BYTES = 32 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, np.ndarray] = {}
-_TABLES: dict[str, dict] = {}
+_TABLES: dict[str, tuple[dict, list[int]]] = {}  # per file the table and the bytes it holds
 
 
 def _powers(n: int) -> np.ndarray:
@@ -60,8 +60,7 @@ class ChunkCoder:
 
     def __init__(self, path: str):
         self.words = coder(path, spaced=False)
-        self.table = _TABLES.setdefault(path, {})
-        self.bytes = 0
+        self.table, self.held = _TABLES.setdefault(path, ({}, [0]))  # both last as long as the worker
 
     def _entry(self, chunk: str):
         """None for a chunk without a space; else its broken ends and the ids of the whole words between them."""
@@ -91,7 +90,7 @@ class ChunkCoder:
         self.words.learn(want.difference(self.words.memo))
         for k, c in fresh.items():
             self.table[k] = self._entry(c)
-            self.bytes += 3 * len(c) + 300
+            self.held[0] += 3 * len(c) + 300
         joins: list[tuple] = []
         bodies = []
         for keys, chunks in plans:
@@ -119,9 +118,9 @@ class ChunkCoder:
             for middle, m in zip(body, mine[1:], strict=True):
                 parts += (middle, m)
             out.append(b"".join(parts))
-        if self.bytes > TABLE_BYTES:
+        if self.held[0] > TABLE_BYTES:
             self.table.clear()
-            self.bytes = 0
+            self.held[0] = 0
         self.words.forget()
         return out
 

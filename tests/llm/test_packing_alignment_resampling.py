@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from quantloom.llm import align, bestfit, pieces, ranks, resample
+from quantloom.llm import align, bestfit, bpe, pieces, ranks, resample
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -259,3 +259,17 @@ def test_a_line_in_most_documents_is_broadcast_with_equal_results(spark):
     rows += [(7, "one very common line")] * 500
     got = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("common words",)], "text string"), 30, 3).collect()
     assert Counter(tuple(r) for r in got) == resampled(rows, ["common words"], 1, 1, 10_000, 30, 3)
+
+
+def test_the_chunk_table_stays_bounded_over_many_tasks(monkeypatch):
+    """Every task makes its own coder; the table and its size belong to the worker."""
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 200_000)
+    monkeypatch.setattr(bpe, "_TABLES", {})
+    rng = np.random.default_rng(0)
+    most = 0
+    for _ in range(30):
+        text = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(6000)).encode()
+        raw = np.frombuffer(text, np.uint8)
+        bpe.ChunkCoder(WORD_BPE).encode(raw, np.array([0, len(raw)]))
+        most = max(most, len(bpe._TABLES[WORD_BPE][0]))
+    assert most < 120
