@@ -35,6 +35,8 @@ HEADLINE = [
     "promotion_decisions",
     "linear_attributions",
     "score_model_c",
+    "predict_latest",
+    "backtest_compare_models",
 ]
 
 

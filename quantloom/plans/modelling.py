@@ -17,6 +17,7 @@ from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, S
 from quantloom.operators import fundamentals, labels, panel, sentiment, splits, technical
 from quantloom.operators.backtest import daily_portfolio
 from quantloom.operators.explain import top_features
+from quantloom.operators.merge import stack
 from quantloom.operators.metrics import classification, ranking_quality
 from quantloom.plans.features import scored_news
 from quantloom.plans.inputs import scored
@@ -200,6 +201,24 @@ view("fresh_panel", """select r.ticker, r.date from ready_rows r join ready_axis
     where i >= greatest(greatest(5, least(floor(0.7e0*n), n-10))+3, least(floor(0.85e0*n), n-3))""")
 
 
+view("ready_test", """select r.ticker, r.date from ready_rows r join ready_axis a using (date)
+    where i >= greatest(greatest(5, least(floor(0.7e0*n), n-10))+3, least(floor(0.85e0*n), n-3))""")
+_CHECKED = ["baseline_lr", "model_a", "model_b", "model_c", "model_d", "model_e", "model_f", "model_g_ranker", "pca_logistic"]
+
+
+@query("model_score_invariants", "N1 N2 N3 N4 N5 N6 N7 N8 N10 N12", f"""select model_id, count(*) as rows, count(*) as keys, count(*) as in_range, count(distinct ticker) as tickers, count(distinct date) as dates
+    from ready_test cross join (select unnest([{", ".join(f"'{m}'" for m in _CHECKED)}]) as model_id) m group by 1""")
+def model_score_invariants(spark, sf_dir):
+    """Every model scores every test row once, with a probability."""
+    part, scored = roles(spark, sf_dir), []
+    for name in _CHECKED:
+        spec = PCA_LOGISTIC.with_features(TECHNICAL + LAG) if name == "pca_logistic" else light(name)
+        scored.append(training.fit(spec, part["train"]).score(part["test"]).select("ticker", "date", F.lit(name).alias("model_id"), "probability"))
+    ok = (F.col("probability").between(0.0, 1.0) & ~F.isnan("probability")).cast("long")
+    out = stack(scored).groupBy("model_id", "ticker", "date").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(ok, F.lit(0))).alias("ok"))
+    return out.groupBy("model_id").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.sum("ok").alias("in_range"), F.count_distinct("ticker").alias("tickers"), F.count_distinct("date").alias("dates"))
+
+
 def _explained(spark, sf_dir):
     """A boosted model over all technical features, the newest row of every ticker and the background rows."""
     part = roles(spark, sf_dir)
