@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -36,6 +38,16 @@ def crc32_text(value: str) -> int:
     return zlib.crc32(value.encode())
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the Python worker stays, and other stages and the JVM share its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which gives memory back by itself
+        pass
+
+
 Make = Callable[[], Callable[[pa.RecordBatch], list]]
 
 
@@ -53,6 +65,7 @@ def annotate(df: DataFrame, fields: Sequence[T.StructField], make: Make) -> Data
         for batch in batches:
             new = work(batch)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + new, names=[f.name for f in schema])
+        give_back()
 
     return df.mapInArrow(run, schema)
 

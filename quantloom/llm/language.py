@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import annotate, mix, slices, text_bytes
+from quantloom.llm.common import annotate, give_back, mix, slices, text_bytes
 
 GRAM_BITS = 22  # n-grams are 4 bytes of lower-case UTF-8, hashed to so many bits
 HASHES = 3
 HELD_GRAMS = 2_000_000  # distinct n-grams with counts that a task keeps
 SPACE = 0x20
 LEAST_GRAMS, LEAST_ROWS = 50, 100
+SLICE = 1 << 18  # bytes of text worked on at a time; an n-gram takes some 60 bytes on its way
 
 
 def _classes() -> np.ndarray:
@@ -112,7 +113,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
             low = _lower(batch.column("text"))
             for name in set(langs.tolist()):
                 raw, offs = text_bytes(low.filter(pa.array(langs == name)))
-                for s, e in slices(offs):
+                for s, e in slices(offs, SLICE):
                     found = np.unique(grams(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])[0], return_counts=True)
                     tally.setdefault(name, []).append(found)
                     held += len(found[0])
@@ -123,6 +124,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
                             yield from _rows(tally)
                             tally, held = {}, 0
         yield from _rows(tally)
+        del tally
+        give_back()
 
     def _rows(tally):
         for name, parts in tally.items():
@@ -215,7 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
             names, scores, covered, counted = [], [], [], []
             ascii_letter = np.zeros(256, bool)
             ascii_letter[ord("a") : ord("z") + 1] = True
-            for s, e in slices(offs):
+            for s, e in slices(offs, SLICE):
                 part, po = raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s]
                 seen = np.concatenate(([0], np.cumsum(ascii_letter[part])))
                 letters = (seen[po[1:]] - seen[po[:-1]]) > 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import mix, slices, stored, text_bytes
+from quantloom.llm.common import give_back, mix, slices, stored, text_bytes
 from quantloom.llm.pieces import coder
 
 DIMS, BITS = 3, 8
@@ -155,5 +155,6 @@ def _layer(path: str, length: int, end_id: int):
                         at, used = at + take, used + take
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names=[f.name for f in _SCHEMA])
         words.release()
+        give_back()
 
     return run
