@@ -69,7 +69,7 @@ _out = lambda c: f"{r(c, DIGITS.get(c, 6))} as {c}"
     "refresh_slices",
     "T8 G2 A5 A14 A15",
     f"""select t.ticker, t.date, {", ".join(map(_out, TECH))}, close, volume_lag1, {", ".join(map(_out, FUNDAMENTAL))},
-    {", ".join(f"coalesce(n.{c},0) as {c}" if c == "news_count" else f"round(cast(coalesce(n.{c},0) as double),6) as {c}" for c in SENTIMENT)}
+    {", ".join(f"coalesce(n.{c},0) as {c}" if c == "news_count" else f"{r(f'cast(coalesce(n.{c},0) as double)')} as {c}" for c in SENTIMENT)}
     from fresh_tech t left join fresh_ratios f on f.ticker=t.ticker left join fresh_news n on n.ticker=t.ticker and n.date=t.date""",
 )
 def refresh_slices(spark, sf_dir):
