@@ -9,11 +9,12 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import sigmoid
+from quantloom.models.isotonic import IsotonicCurve
 from quantloom.models.specs import Spec
 from quantloom.operators.merge import stack
 from quantloom.operators.ordering import average_ranks
@@ -85,7 +86,7 @@ class FittedModel:
 
     spec: Spec
     parts: list[PipelineModel]
-    calibrator: IsotonicRegressionModel | None = None
+    calibrator: IsotonicCurve | None = None
     status: dict[str, str] = field(default_factory=dict)
 
     def raw_score(self, df: DataFrame, name: str = "probability") -> DataFrame:
@@ -116,7 +117,7 @@ class FittedModel:
         for i, part in enumerate(self.parts):
             part.write().overwrite().save(f"{path}/part-{i}")
         if self.calibrator is not None:
-            self.calibrator.write().overwrite().save(f"{path}/calibrator")
+            self.calibrator.save(f"{path}/calibrator")
         row = [(self.spec.model_id, list(self.spec.features), [k for k, _ in self.spec.parts], self.calibrator is not None)]
         meta = spark.createDataFrame(row, "model_id string, features array<string>, kinds array<string>, calibrated boolean")
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/sidecar")
@@ -126,7 +127,7 @@ def load_model(path: str, spark: SparkSession) -> FittedModel:
     meta = spark.read.json(f"{path}/sidecar").first()
     spec = Spec(meta["model_id"], tuple(meta["features"]), tuple((k, {}) for k in meta["kinds"]))
     parts = [PipelineModel.load(f"{path}/part-{i}") for i in range(len(meta["kinds"]))]
-    return FittedModel(spec, parts, IsotonicRegressionModel.load(f"{path}/calibrator") if meta["calibrated"] else None)
+    return FittedModel(spec, parts, IsotonicCurve.load(f"{path}/calibrator", spark) if meta["calibrated"] else None)
 
 
 def fit(spec: Spec, train: DataFrame, label: str = "target", keys: Sequence[str] = ("ticker", "date")) -> FittedModel:
@@ -158,9 +159,8 @@ def calibrate(model: FittedModel, validation: DataFrame, label: str = "target",
         return FittedModel(model.spec, model.parts, None, {"calibration": f"skipped_val_lt_{min_rows}"})
     if seen["k"] < 2:
         return FittedModel(model.spec, model.parts, None, {"calibration": "skipped_single_class_in_val"})
-    scored = model.raw_score(validation).withColumn(label, F.col(label).cast("double"))
-    iso = IsotonicRegression(featuresCol="probability", labelCol=label, predictionCol="_calibrated").fit(scored)
-    return FittedModel(model.spec, model.parts, iso, {"calibration": "isotonic_applied"})
+    curve = IsotonicCurve.fit(model.raw_score(validation), "probability", label)
+    return FittedModel(model.spec, model.parts, curve, {"calibration": "isotonic_applied"})
 
 
 def predict_latest(models: dict[str, FittedModel], features: DataFrame) -> DataFrame:

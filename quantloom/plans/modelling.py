@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.safe import rounded
 from quantloom.functions.vocabulary import FUNDAMENTAL, LAG, MACRO, PRICE, SECTOR, SENTIMENT, TECHNICAL
 from quantloom.models import attribution, research, training
+from quantloom.models.isotonic import IsotonicCurve
 from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, Spec, spec_of
 from quantloom.operators import fundamentals, labels, panel, sentiment, splits, technical
 from quantloom.operators.backtest import daily_portfolio
@@ -90,6 +91,22 @@ def calibrated_scores(spark, sf_dir):
     return model.score(part["test"]).select("ticker", "date", "target", "probability", F.lit(model.status["calibration"]).alias("calibration"))
 
 
+_CENT = "round(score,2)"
+
+
+@query("isotonic_scores", "N11", f"""with d as (select {_CENT} as p, count(*) as w, cast(sum(target) as double) as y from scored group by 1),
+    c as (select p, row_number() over (order by p) as i, sum(w) over (order by p) as cw, sum(y) over (order by p) as cy, w, y from d),
+    spans as (select a.i as lo, b.i as hi, (b.cy-a.cy+a.y)/(b.cw-a.cw+a.w) as mean from c a join c b on b.i>=a.i),
+    least as (select c.p, s.lo, min(s.mean) as m from c join spans s on s.lo<=c.i and s.hi>=c.i group by 1, 2),
+    fit as (select p, max(m) as v from least group by 1)
+    select ticker, date, {r("v", 8)} as calibrated from scored join fit on fit.p={_CENT}""")
+def isotonic_scores(spark, sf_dir):
+    """Every score at the isotonic fit of the outcome on all scores, cut to two digits so that ties are many."""
+    rows = scored(spark, sf_dir).withColumn("p", F.round("score", 2))
+    curve = IsotonicCurve.fit(rows, "p", "target")
+    return rounded(curve.transform(rows, "p", "calibrated").select("ticker", "date", "calibrated"), 8)
+
+
 @query("pca_logistic", "N12")
 def pca_logistic(spark, sf_dir):
     part = roles(spark, sf_dir)
