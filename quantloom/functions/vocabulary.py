@@ -18,6 +18,12 @@ MACRO = [
     "spy_return", "spy_vol_5d", "vix_level", "vix_change", "qqq_return", "tlt_return", "gld_return",
     "spy_qqq_spread", "vix_spy_ratio",
 ]
+# features whose percentile rank among the tickers of a date is a feature of its own
+RANKED = [
+    "returns", "returns_3d", "returns_10d", "returns_20d", "rsi", "momentum", "volatility", "volume_ratio", "macd_hist", "bb_pct",
+    "dist_52w_high", "obv_change",
+]
+CROSS_SECTION = [f"{c}_rank" for c in RANKED]
 
 GROUPS = {
     "Technical": TECHNICAL + LAG,

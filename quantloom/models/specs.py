@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from quantloom.functions.vocabulary import FUNDAMENTAL, LAG, MACRO, PRICE, SECTOR, SENTIMENT, TECHNICAL
+from quantloom.functions.vocabulary import CROSS_SECTION, FUNDAMENTAL, LAG, MACRO, PRICE, SECTOR, SENTIMENT, TECHNICAL
 
 ALL = TECHNICAL + FUNDAMENTAL + SENTIMENT
 
@@ -73,10 +73,10 @@ STRATEGY_GROUPS = {
 }
 
 ABLATION_STEPS = {
-    "A: Technical": TECHNICAL + LAG,
-    "B: +Macro/Sector/Price": TECHNICAL + LAG + MACRO + SECTOR + PRICE,
-    "C: +Fundamental": TECHNICAL + LAG + MACRO + SECTOR + PRICE + FUNDAMENTAL,
-    "D: +Sentiment (all)": TECHNICAL + LAG + MACRO + SECTOR + PRICE + FUNDAMENTAL + SENTIMENT,
+    "A: Technical": TECHNICAL + LAG + CROSS_SECTION,
+    "B: +Macro/Sector/Price": TECHNICAL + LAG + MACRO + SECTOR + PRICE + CROSS_SECTION,
+    "C: +Fundamental": TECHNICAL + LAG + MACRO + SECTOR + PRICE + FUNDAMENTAL + CROSS_SECTION,
+    "D: +Sentiment (all)": TECHNICAL + LAG + MACRO + SECTOR + PRICE + FUNDAMENTAL + SENTIMENT + CROSS_SECTION,
 }
 
 

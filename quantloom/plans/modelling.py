@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import rounded
-from quantloom.functions.vocabulary import FUNDAMENTAL, LAG, MACRO, PRICE, SECTOR, SENTIMENT, TECHNICAL
+from quantloom.functions.vocabulary import CROSS_SECTION, FUNDAMENTAL, LAG, PRICE, RANKED, SECTOR, SENTIMENT, TECHNICAL
 from quantloom.models import attribution, research, training
 from quantloom.models.isotonic import IsotonicCurve
 from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, Spec, spec_of
-from quantloom.operators import fundamentals, labels, panel, sentiment, splits, technical
+from quantloom.operators import fundamentals, labels, market, panel, sentiment, splits, technical
 from quantloom.operators.backtest import daily_portfolio
 from quantloom.operators.explain import top_features
 from quantloom.operators.merge import stack
 from quantloom.operators.metrics import classification, ranking_quality
+from quantloom.operators.ordering import average_ranks
 from quantloom.plans.features import scored_news
-from quantloom.plans.inputs import scored
+from quantloom.plans.inputs import FIXTURE_NEGATIVE, FIXTURE_POSITIVE, scored
 from quantloom.plans.registry import query, r, view
 from quantloom.session import scratch_path
 from quantloom.plans import workflows
@@ -34,14 +35,19 @@ _stored: dict[tuple[str, str], DataFrame] = {}
 
 
 def training_panel(spark, sf_dir) -> DataFrame:
-    """Combined slices with labels, written once per session and scale."""
+    """Every listed feature (technical, lag, price, macro, sector, fundamental, sentiment, ranks) with labels, written once per session and scale."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        bars = tables.bars(spark, sf_dir)
+        bars, series = tables.bars(spark, sf_dir), tables.macro(spark, sf_dir)
         tech = technical.price_patterns(technical.technical(bars))
         fund = fundamentals.daily_static(bars, fundamentals.ratios(tables.fundamentals(spark, sf_dir)))
-        sent = sentiment.rolling_features(scored_news(spark, sf_dir), bars)
-        rows = labels.next_return(panel.combined(tech, fund, sent)).withColumn("ret_1d", F.col("returns"))
+        articles = sentiment.lexicon_scores(sentiment.usable_articles(tables.market_news(spark, sf_dir)), FIXTURE_POSITIVE, FIXTURE_NEGATIVE)
+        sent = sentiment.rolling_features(articles, bars)
+        sector = market.sector_features(tech.select("ticker", "date", "returns"), tables.sector_map(spark, sf_dir), series)
+        rows = market.attach_macro(panel.combined(tech, fund, sent), market.macro_features(market.macro_panel(series)))
+        rows = rows.join(sector.select("ticker", "date", *SECTOR), ["ticker", "date"], "left")
+        rows = training.stored(rows, "features")  # the ranks look at their rows several times
+        rows = labels.next_return(average_ranks(rows, ["date"], dict(zip(RANKED, CROSS_SECTION, strict=True)), pct=True)).withColumn("ret_1d", F.col("returns"))
         _stored[key] = training.stored(rows.dropna(subset=TECHNICAL), "panel")
     return _stored[key]
 
@@ -123,7 +129,7 @@ def strategy_groups(spark, sf_dir):
 @query("feature_ablation", "N16")
 def feature_ablation(spark, sf_dir):
     part = roles(spark, sf_dir)
-    return research.group_comparison(part["train"], part["test"], ABLATION_STEPS, light("model_a"), leave_out=MACRO + SECTOR)
+    return research.group_comparison(part["train"], part["test"], ABLATION_STEPS, light("model_a"))
 
 
 @query("search_validation", "N14")
@@ -218,6 +224,26 @@ view("fresh_panel", """select r.ticker, r.date from ready_rows r join ready_axis
     where i >= greatest(greatest(5, least(floor(0.7e0*n), n-10))+3, least(floor(0.85e0*n), n-3))""")
 
 
+view("market_scored", """select 'Brand#' || cast(1+doc_id%25 as varchar(4)) as ticker, date '1995-01-02' + cast(doc_id*7%2499 as int) as day from scored_news""")
+
+
+@query("training_panel", "C1 N10 N16", f"""with near as (select b.ticker, b.date, count(m.day) as news from bars b
+      left join market_scored m on m.ticker=b.ticker and m.day between b.date-2 and b.date group by 1, 2),
+    ranked as (select ticker, date, case when returns is not null then
+      (rank() over (partition by date order by returns nulls last)+(count(*) over (partition by date, returns)-1)/2.0e0)/count(returns) over (partition by date) end as pct from tech),
+    sec as (select *, sec/nullif(lag(sec) over (partition by ticker order by date),0)-1 as ret from sector_aligned),
+    full_rows as (select r.ticker, r.date, n.news, k.pct, s.ret from ready_rows r join near n using (ticker, date) join ranked k using (ticker, date) join sec s using (ticker, date))
+    select f.ticker, count(*) as rows, count(m.vix_level) as macro_rows, count(m.spy_vol_5d) as vol_rows, count(f.ret) as sector_rows, cast(sum(f.news) as bigint) as articles,
+      {r("avg(f.pct)")} as mean_rank, {r("avg(f.ret)", 5)} as mean_sector, {r("avg(m.spy_return)", 5)} as mean_spy
+    from full_rows f asof left join macro_feat m on f.date>=m.date group by 1""")
+def training_panel_summary(spark, sf_dir):
+    """What the training panel holds per ticker: rows, macro, sector, news and rank features."""
+    rows = training_panel(spark, sf_dir).filter(F.col("forward_return").isNotNull())
+    means = [F.round(F.avg(c), d).alias(name) for c, d, name in (("returns_rank", 6, "mean_rank"), ("sector_ret1d", 5, "mean_sector"), ("spy_return", 5, "mean_spy"))]
+    counts = [F.count(c).alias(name) for c, name in (("vix_level", "macro_rows"), ("spy_vol_5d", "vol_rows"), ("sector_ret1d", "sector_rows"))]
+    return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), *counts, F.sum("news_count").cast("long").alias("articles"), *means)
+
+
 view("ready_test", """select r.ticker, r.date from ready_rows r join ready_axis a using (date)
     where i >= greatest(greatest(5, least(floor(0.7e0*n), n-10))+3, least(floor(0.85e0*n), n-3))""")
 _CHECKED = ["baseline_lr", "model_a", "model_b", "model_c", "model_d", "model_e", "model_f", "model_g_ranker", "pca_logistic"]

@@ -85,6 +85,16 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def market_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same articles under the tickers of the bars, published on days that the bars cover."""
+    doc = F.col("doc_id")
+    day = F.date_add(F.lit("1995-01-02").cast("date"), (doc * 7 % 2499).cast("int"))
+    return news(spark, sf_dir).select(
+        F.concat(F.lit("Brand#"), (doc % 25 + 1).cast("string")).alias("ticker"), "doc_id", "title", "content", "source", "url",
+        F.concat(day.cast("string"), F.lit("T12:00:00Z")).alias("published_at"),
+    )
+
+
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     text = lambda c: c.cast("string")
