@@ -1,4 +1,4 @@
-"""Cross-validation, search, ablation, out-of-fold and meta-model jobs.
+"""Search, ablation, out-of-fold and meta-model jobs (N13-N18, Q8); cross-validation over schemes is in ``folds``.
 
 Folds and trials are a short driver-side list; each one is a distributed fit on a stored frame, and trials may overlap.
 """
@@ -39,17 +39,6 @@ def large_enough(panel: DataFrame, folds: DataFrame, min_train: int, min_test: i
     return sorted(r["fold"] for r in sizes.collect() if r["train"] >= min_train and r["test"] >= min_test)  # a handful of folds
 
 
-def cv_metrics(panel: DataFrame, folds: DataFrame, name: str, spec: Spec = FOREST, label: str = "target", min_train: int = 50, min_test: int = 20) -> DataFrame:
-    """Precision@k, IC and rank-IC of each fold of a scheme."""
-    rows = []
-    for fold in large_enough(panel, folds, min_train, min_test):
-        train, test = fold_frames(panel, folds, fold)
-        scored = fit(spec, train, label).score(test).withColumnRenamed("probability", "score").withColumn("target", F.col(label))
-        result = strategy_evaluation(scored, top_frac=0.2)
-        rows.append(result.select(F.lit(name).alias("split_name"), F.lit(fold).alias("fold"), "precision_at_k", "ic", "rank_ic"))
-    return stack(rows)
-
-
 def group_comparison(train: DataFrame, test: DataFrame, groups: dict[str, Sequence[str]], spec: Spec = FOREST, label: str = "target", leave_out: Sequence[str] = ()) -> DataFrame:
     """The same model on different feature groups, one evaluation row each.
 
@@ -64,8 +53,8 @@ def group_comparison(train: DataFrame, test: DataFrame, groups: dict[str, Sequen
         if len(have) < 2:
             continue
         scored = fit(spec.with_features(have), train, label).score(test).withColumnRenamed("probability", "score").withColumn("target", F.col(label))
-        rows.append(strategy_evaluation(scored).withColumn("strategy", F.lit(name)).withColumn("n_features", F.lit(len(have))))
-    return stack(rows)
+        rows.append(scored.select("ticker", "date", "forward_return", "target", "score", F.lit(name).alias("strategy"), F.lit(len(have)).alias("n_features")))
+    return strategy_evaluation(stored(stack(rows), "group-scores"), ["strategy", "n_features"])
 
 
 def rank_ic_objective(model: FittedModel, validation: DataFrame) -> float:

@@ -50,6 +50,24 @@ def _components(df: DataFrame, prepared: PipelineModel, width: int, variance: fl
     return max(1, k)
 
 
+def _trees(kind: str, settings: dict, common: dict) -> Estimator:
+    p = dict(settings)
+    if kind == "forest":
+        return RandomForestClassifier(featuresCol="_x", probabilityCol="_vec", seed=SEED, **common, **p)
+    if p.pop("validationFraction", None) is not None:
+        common = {**common, "validationIndicatorCol": "_held"}
+    booster = GBTClassifier(featuresCol="_x", seed=SEED, **common, **p)
+    booster.set(booster.probabilityCol, "_vec")
+    return booster
+
+
+def assembled_estimators(kind: str, settings: dict, features: Sequence[str], label: str) -> list[Estimator | Transformer]:
+    """Stages of a tree learner on features without gaps and rows weighted by ``_w``."""
+    if kind not in ("forest", "gbt") or "validationFraction" in settings:
+        raise ValueError(f"binned rows suit plain tree learners, not {kind!r}")
+    return [VectorAssembler(inputCols=list(features), outputCol="_x"), _trees(kind, settings, {"labelCol": label, "weightCol": "_w"})]
+
+
 def _estimators(kind: str, settings: dict, df: DataFrame, features: Sequence[str], label: str) -> list[Estimator | Transformer]:
     p = dict(settings)
     common = {"labelCol": label, "weightCol": "_w"}
@@ -65,14 +83,8 @@ def _estimators(kind: str, settings: dict, df: DataFrame, features: Sequence[str
             stages.append(PCA(k=k, inputCol="_z", outputCol="_pc"))
             source = "_pc"
         stages.append(LogisticRegression(featuresCol=source, probabilityCol="_vec", regParam=penalty, **common, **p))
-    elif kind == "forest":
-        stages.append(RandomForestClassifier(featuresCol="_x", probabilityCol="_vec", seed=SEED, **common, **p))
-    elif kind == "gbt":
-        if p.pop("validationFraction", None) is not None:
-            common["validationIndicatorCol"] = "_held"
-        booster = GBTClassifier(featuresCol="_x", seed=SEED, **common, **p)
-        booster.set(booster.probabilityCol, "_vec")
-        stages.append(booster)
+    elif kind in ("forest", "gbt"):
+        stages.append(_trees(kind, p, common))
     elif kind == "ranker":
         stages.append(GBTRegressor(featuresCol="_x", labelCol="_relevance", seed=SEED, **p))
     else:

@@ -177,6 +177,16 @@ def combinatorial_purged(
     return rows.filter((F.col("_tr") >= 30) & (F.col("_te") >= 5)).drop("_tr", "_te")
 
 
+def research_schemes(df: DataFrame, max_splits: int | None = 24) -> dict[str, DataFrame]:
+    """The four schemes of the research study by name."""
+    return {
+        "walk_forward": walk_forward(df, 4),
+        "purged_kfold": purged_kfold(df, 5, embargo=5),
+        "purged_kfold_horizon": purged_kfold(df, 5, embargo=5, horizon=1),
+        "cpcv": combinatorial_purged(df, 8, 2, embargo=5, horizon=1, max_splits=max_splits),
+    }
+
+
 def rows_on_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
     """Panel rows whose day is in a date set."""
     days = dates.select(F.to_date("date").alias("_day")).distinct()

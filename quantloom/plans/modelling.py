@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.safe import rounded
 from quantloom.functions.vocabulary import CROSS_SECTION, FUNDAMENTAL, LAG, PRICE, RANKED, SECTOR, SENTIMENT, TECHNICAL
-from quantloom.models import attribution, research, training
+from quantloom.models import attribution, folds, research, training
 from quantloom.models.isotonic import IsotonicCurve
 from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, Spec, spec_of
 from quantloom.operators import fundamentals, labels, market, panel, sentiment, splits, technical
@@ -21,9 +21,11 @@ from quantloom.operators.explain import top_features
 from quantloom.operators.merge import stack
 from quantloom.operators.metrics import classification, ranking_quality
 from quantloom.operators.ordering import average_ranks
+from quantloom.operators.summaries import cv_summary
 from quantloom.plans.features import scored_news
 from quantloom.plans.inputs import FIXTURE_NEGATIVE, FIXTURE_POSITIVE, scored
-from quantloom.plans.registry import query, r, view
+from quantloom.plans.registry import VIEWS, query, r, view
+from quantloom.plans.research import CPCV, PURGED, WALK_FORWARD
 from quantloom.session import scratch_path
 from quantloom.plans import workflows
 from quantloom.sources import tables
@@ -144,17 +146,65 @@ def search_validation(spark, sf_dir):
 @query("search_folds", "N15")
 def search_folds(spark, sf_dir):
     rows = roles(spark, sf_dir)["train"]
-    folds = splits.time_series_split(rows, 3)
+    parts = splits.time_series_split(rows, 3)
     space = {**research.BOOST_SPACE, "maxIter": research.whole(2, 4), "maxDepth": research.whole(3, 4)}
-    _, log = research.search_on_folds(spec_of("model_a"), space, rows, folds, 2)
+    _, log = research.search_on_folds(spec_of("model_a"), space, rows, parts, 2)
     return spark.createDataFrame([(i, v, str(d)) for i, v, d in log], "trial int, cv_auc double, settings string")
 
 
+view("ready_rows", """select ticker, date from (select *, lead(returns) over (partition by ticker order by date) as ahead from tech) t
+    where ahead is not null and returns is not null and volatility is not null and rsi is not null and momentum is not null and bb_width is not null""")
+view("ready_axis", "select date, row_number() over (order by date)-1 as i, count(*) over () as n from (select distinct date from ready_rows) d")
+FULL = list(ABLATION_STEPS)[-1]
+
+
+def cv_scores(spark, sf_dir) -> DataFrame:
+    """Test scores of all folds of the four schemes on every ablation step (the combinatorial scheme on all features), fitted once per session and scale."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#cv")
+    if key not in _stored:
+        rows = training_panel(spark, sf_dir)
+        matrix = folds.build(rows, ABLATION_STEPS[FULL], splits.research_schemes(rows.select("date")))
+        _stored[key] = folds.scores(matrix, ABLATION_STEPS, fewer_trees(FOREST), only={"cpcv": [FULL]})
+    return _stored[key]
+
+
 @query("cv_fold_metrics", "M12")
 def cv_fold_metrics(spark, sf_dir):
+    return folds.fold_metrics(cv_scores(spark, sf_dir))
+
+
+@query("research_cv_summary", "M12 D10")
+def research_cv_summary(spark, sf_dir):
+    return cv_summary(folds.fold_metrics(cv_scores(spark, sf_dir)))
+
+
+view("ready_blocks", VIEWS["blocks"].replace("from axis", "from ready_axis"))
+_on_ready = lambda sql: sql.replace("from axis", "from ready_axis").replace("join blocks", "join ready_blocks")
+_named = "select '{}' as split_name, fold, date, role from ({}) t"
+_every_fold = " union all ".join(
+    _named.format(name, _on_ready(sql))
+    for name, sql in (
+        ("walk_forward", WALK_FORWARD), ("purged_kfold", PURGED.format(gap=5)), ("purged_kfold_horizon", PURGED.format(gap=6)),
+        ("cpcv", CPCV.format(n=24, out="select cast(fold as int) as fold, date, role")),
+    )
+)
+
+
+@query("cv_fold_sizes", "M12 N16 C10", f"""select split_name, ablation, fold, n_train, n_test, n_test as n_scored
+    from (select split_name, fold, count(*) filter (role='train') as n_train, count(*) filter (role='test') as n_test
+          from ({_every_fold}) f join ready_rows using (date) group by 1, 2) sized
+    cross join (select unnest([{", ".join(f"'{g}'" for g in ABLATION_STEPS)}]) as ablation) a
+    where n_train>=50 and n_test>=20 and (split_name<>'cpcv' or ablation='{FULL}')""")
+def cv_fold_sizes(spark, sf_dir):
+    """Rows that each fit was trained and tested on, and the keys it scored."""
+    return folds.fold_sizes(cv_scores(spark, sf_dir))
+
+
+@query("ablation_auc", "N16 M2")
+def ablation_auc(spark, sf_dir):
     rows = training_panel(spark, sf_dir)
-    spec = fewer_trees(FOREST.with_features(TECHNICAL))
-    return research.cv_metrics(rows, splits.walk_forward(rows, 3), "walk_forward", spec)
+    matrix = folds.build(rows, ABLATION_STEPS[FULL], {"holdout": splits.two_way(rows).withColumn("fold", F.lit(0))})
+    return folds.ablation_auc(folds.scores(matrix, ABLATION_STEPS, light("model_a"), with_train=True))
 
 
 def _primary(spark, sf_dir):
@@ -217,9 +267,6 @@ def feature_importances(spark, sf_dir):
     return training.fit(spec, part["train"]).importances(spark).orderBy(F.col("importance").desc(), "feature").limit(20)
 
 
-view("ready_rows", """select ticker, date from (select *, lead(returns) over (partition by ticker order by date) as ahead from tech) t
-    where ahead is not null and returns is not null and volatility is not null and rsi is not null and momentum is not null and bb_width is not null""")
-view("ready_axis", "select date, row_number() over (order by date)-1 as i, count(*) over () as n from (select distinct date from ready_rows) d")
 view("fresh_panel", """select r.ticker, r.date from ready_rows r join ready_axis a using (date)
     where i >= greatest(greatest(5, least(floor(0.7e0*n), n-10))+3, least(floor(0.85e0*n), n-3))""")
 
@@ -320,7 +367,7 @@ def research_run(spark, sf_dir):
     forest = fewer_trees(FOREST.with_features(TECHNICAL))
     models = {"logreg_baseline": light("baseline_lr"), "random_forest": forest}
     groups = {k: STRATEGY_GROUPS[k] for k in ("technical_only", "fundamental_strategy")}
-    results = workflows.research_run(training_panel(spark, sf_dir), models=models, primary=forest, meta=fewer_trees(META), groups=groups, bootstrap=50)
+    results = workflows.research_run(training_panel(spark, sf_dir), models=models, primary=forest, meta=fewer_trees(META), groups=groups, bootstrap=50, cv=cv_scores(spark, sf_dir))
     folder = scratch_path(spark, "study")
     workflows.write_results(results, folder)
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/dashboard")

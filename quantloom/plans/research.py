@@ -60,23 +60,26 @@ def split_order_check(spark, sf_dir):
     return splits.order_violations(splits.chronological(bar_dates(spark, sf_dir)))
 
 
-@query("cv_walk_forward", "L5", """with f as (select *, cast(floor(k/5.0e0*n) as bigint) as a, cast(floor((k+1)/5.0e0*n) as bigint) as b from axis, generate_series(1,4) g(k))
-    select cast(k as int) as fold, date, case when i<a then 'train' else 'test' end as role from f where i<b and a>=20 and b-a>=3""")
+WALK_FORWARD = """with f as (select *, cast(floor(k/5.0e0*n) as bigint) as a, cast(floor((k+1)/5.0e0*n) as bigint) as b from axis, generate_series(1,4) g(k))
+    select cast(k as int) as fold, date, case when i<a then 'train' else 'test' end as role from f where i<b and a>=20 and b-a>=3"""
+
+
+@query("cv_walk_forward", "L5", WALK_FORWARD)
 def cv_walk_forward(spark, sf_dir):
     return splits.walk_forward(bar_dates(spark, sf_dir))
 
 
-_PURGED = """with f as (select *, k*greatest(1,n//5) as s, case when k=4 then n else (k+1)*greatest(1,n//5) end as e from axis, generate_series(0,4) g(k))
+PURGED = """with f as (select *, k*greatest(1,n//5) as s, case when k=4 then n else (k+1)*greatest(1,n//5) end as e from axis, generate_series(0,4) g(k))
     select cast(k as int) as fold, date, case when i<s-{gap} then 'train' else 'test' end as role from f
     where (i<s-{gap} or (i>=s and i<e)) and s-{gap}>=20 and least(e,n)-least(s,n)>=3"""
 
 
-@query("cv_purged_kfold", "L6", _PURGED.format(gap=5))
+@query("cv_purged_kfold", "L6", PURGED.format(gap=5))
 def cv_purged_kfold(spark, sf_dir):
     return splits.purged_kfold(bar_dates(spark, sf_dir))
 
 
-@query("cv_purged_horizon", "L7", _PURGED.format(gap=10))
+@query("cv_purged_horizon", "L7", PURGED.format(gap=10))
 def cv_purged_horizon(spark, sf_dir):
     return splits.purged_kfold(bar_dates(spark, sf_dir), horizon=5)
 
@@ -90,7 +93,7 @@ def cv_blocks(spark, sf_dir):
     return out.groupBy("block").agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
-_CPCV = """with every as (select a.g as g1, b.g as g2, sha256('42:' || a.g || ',' || b.g) as h from generate_series(0,7) a(g), generate_series(0,7) b(g) where a.g<b.g),
+CPCV = """with every as (select a.g as g1, b.g as g2, sha256('42:' || a.g || ',' || b.g) as h from generate_series(0,7) a(g), generate_series(0,7) b(g) where a.g<b.g),
     combos as (select g1, g2, row_number() over (order by g1, g2)-1 as fold from (select * from every order by h limit {n}) t),
     span as (select fold, min(i) as lo, max(i) as hi from combos join blocks on block in (g1,g2) group by 1),
     roles as (select c.fold, date, case when block in (g1,g2) then 'test' when not (i<=least(n-1,hi+5) and least(i+1,n-1)>=greatest(0,lo-5)) then 'train' end as role
@@ -99,12 +102,12 @@ _CPCV = """with every as (select a.g as g1, b.g as g2, sha256('42:' || a.g || ',
     {out} from kept where tr>=30 and te>=5"""
 
 
-@query("cv_combinatorial", "L9 L10 C11 G6 G7", _CPCV.format(n=28, out="select cast(fold as int) as fold, date, role"))
+@query("cv_combinatorial", "L9 L10 C11 G6 G7", CPCV.format(n=28, out="select cast(fold as int) as fold, date, role"))
 def cv_combinatorial(spark, sf_dir):
     return splits.combinatorial_purged(bar_dates(spark, sf_dir), max_splits=None)
 
 
-@query("cv_combinatorial_sampled", "L10", _CPCV.format(n=12, out="select cast(fold as int) as fold, role, count(*) as n") + " group by 1, 2")
+@query("cv_combinatorial_sampled", "L10", CPCV.format(n=12, out="select cast(fold as int) as fold, role, count(*) as n") + " group by 1, 2")
 def cv_combinatorial_sampled(spark, sf_dir):
     return splits.combinatorial_purged(bar_dates(spark, sf_dir), max_splits=12).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 

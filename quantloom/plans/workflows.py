@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.vocabulary import LAG, TECHNICAL
-from quantloom.models import research, training
-from quantloom.models.specs import FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, Spec, spec_of
+from quantloom.models import folds, research, training
+from quantloom.models.specs import ABLATION_STEPS, FOREST, META, PCA_LOGISTIC, STRATEGY_GROUPS, Spec, spec_of
 from quantloom.operators import backtest, fundamentals, incremental, inference, metrics, quality, sentiment, splits, summaries
 from quantloom.operators.merge import stack
 from quantloom.operators.projections import forecast_probability, signal
@@ -90,11 +90,14 @@ def research_run(
     primary: Spec = FOREST,
     meta: Spec = META,
     groups: dict[str, Sequence[str]] = STRATEGY_GROUPS,
+    steps: dict[str, Sequence[str]] = ABLATION_STEPS,
+    cv: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Holdout study of a labelled panel (ticker, date, features, ret_1d, forward_return, label) as named result tables.
 
     Models are fitted on the training dates, the best by validation rank-IC sets the threshold, and the test dates give
-    metrics, cost-adjusted backtests, the forecast test, the bootstrap, the meta-gated variant and the comparison of feature groups.
+    metrics, cost-adjusted backtests, the forecast test, the bootstrap, the meta-gated variant and the comparison of feature groups. Four schemes of
+    folds are run on every ablation step (the combinatorial one on the last), unless their scores are given as ``cv`` (``folds.scores``).
     """
     features = TECHNICAL + LAG
     models = models or {"logreg_baseline": spec_of("baseline_lr"), "pca_logistic": PCA_LOGISTIC.with_features(features), "random_forest": primary}
@@ -146,6 +149,12 @@ def research_run(
         next(iter(models)), best, stats.first()["sharpe_strategy_net"],
     )
     results["strategy_comparison"] = research.group_comparison(part["train"], part["test"], groups, primary, label)
+    if cv is None:
+        last = list(steps)[-1]
+        matrix = folds.build(panel, sorted({f for names in steps.values() for f in names}), splits.research_schemes(panel.select("date")), label)
+        cv = folds.scores(matrix, steps, primary, only={"cpcv": [last]})
+    results["cv_fold_metrics"] = folds.fold_metrics(cv)
+    results["cv_summary"] = summaries.cv_summary(results["cv_fold_metrics"])
     results["quantile_curves"] = metrics.quantile_curves(metrics.quantile_returns(chosen))
     return results
 
