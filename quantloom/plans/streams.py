@@ -26,7 +26,7 @@ def stream_daily_bars(spark, sf_dir):
 
 
 def _articles(spark, sf_dir):
-    raw = sources.file_stream(spark, sf_dir, "documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    raw = sources.table_stream(spark, sf_dir, "documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
     doc = F.col("doc_id")
     published = F.concat(F.lit("2024-01-"), F.lpad((doc % 30 + 1).cast("string"), 2, "0"), F.lit("T"), F.lpad((doc % 24).cast("string"), 2, "0"), F.lit(":00:00Z"))
     return raw.select(

@@ -21,9 +21,18 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str, fil
     return reader.parquet(folder)
 
 
-def ticks(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
+def table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A Parquet table of a folder, one file or a directory of them, as a stream.
+
+    All files there are at the start form one micro-batch: the order of files says nothing about event times, so a watermark between them would drop rows.
+    The braces make the path a pattern, which the source takes for a file and for a directory.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{{{name}}}")
+
+
+def ticks(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """Positive-valued events as ticks with an event-time column."""
-    raw = file_stream(spark, folder, pattern, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    raw = table_stream(spark, folder, name, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
     return raw.filter(F.col("value") > 0).select(
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), (F.col("user_id") % 10).cast("string")).alias("ticker"), "value", "event_id"
     )

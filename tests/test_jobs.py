@@ -193,3 +193,23 @@ def test_late_bar_replaces_and_replay_changes_nothing(spark):
     before = s.load("bars").collect()
     s.merge("bars", s.load("bars"))
     assert sorted(map(str, s.load("bars").collect())) == sorted(map(str, before))
+
+
+def test_a_table_in_many_files_streams_whole(spark):
+    """A directory of files, newest event first: no row is late, and a single file gives the same."""
+    rows = [(d, dt.datetime(2024, 1, 30 - d, 9), f"u{d % 5}") for d in range(20)]
+    schema = "doc_id long, ts timestamp, url string"
+    many, one = scratch_path(spark, "many"), scratch_path(spark, "one")
+    for r in rows[:3], rows[3:]:
+        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(f"{many}/news.parquet")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{one}/news")
+    hadoop, path = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(one).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(path(f"{one}/news")) if x.getPath().getName().startswith("part-"))
+    hadoop.FileUtil.copy(fs, part, fs, path(f"{one}/news.parquet"), False, spark._jsc.hadoopConfiguration())
+    for folder in (many, one):
+        stream = sources.table_stream(spark, folder, "news.parquet", schema)
+        kept = spark.read.parquet(sources.run_keyed(stream.withWatermark("ts", "3 days"), "whole", "append"))
+        assert {r["doc_id"] for r in kept.collect()} == set(range(20))
+        unique = jobs.drop_duplicate_articles(sources.table_stream(spark, folder, "news.parquet", schema))
+        assert spark.read.parquet(sources.run_keyed(unique, "unique", "append")).count() == 5
