@@ -5,7 +5,8 @@ always taken. Overlapping proposals matter where a base match swallows its neigh
 candidates not used for fitting selects which are added. The fitted trees are turned into one CASE expression each, so scoring happens inside the row: no
 shuffle, no join, no Python.
 
-The classifier is fitted on at most ``MAX_TRAINING`` labelled candidates, those with the smallest hash; everything else covers all rows.
+The classifier is fitted, and its threshold calibrated, on all labelled candidates. Equal ones (features and truth) become one row with their number as weight, so that the
+rows to fit on follow the kinds of candidates, not the documents.
 
 Defined results: null text counts as empty and has no span; without at least five candidates of either truth no trees are fitted, and only proposals of the tight
 generators that pass the check of their kind are added; a long text is searched whole;
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TRAINING = 20_000
 TREES, DEPTH, PRECISION = 12, 3, 0.995
 
 # Possessive forms match what the greedy forms of the specification match, but neither backtrack nor recurse on long runs. The look-behind
@@ -157,7 +157,7 @@ class Chooser:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * reduce(lambda a, b: a + b, parts)))
 
 
-def fit(docs: DataFrame, text: str = "text", max_training: int = MAX_TRAINING, precision: float = PRECISION) -> Chooser:
+def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> Chooser:
     """Fit on candidates whose truth is known: checked base spans against matches that fail and number groups no kind allows."""
     rows = proposals(docs.select(F.col(text).alias("text")))
     n = lambda x: F.length(_digits(x["m"]))
@@ -165,22 +165,22 @@ def fit(docs: DataFrame, text: str = "text", max_training: int = MAX_TRAINING, p
     label = lambda a, y: F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(y).alias("label")))
     known = F.concat(label(F.col("_base"), 1.0), label(F.col("_failed"), 0.0), label(impossible, 0.0))
     one = rows.select(F.explode(known).alias("k")).select("k.label", F.xxhash64("k.x").alias("h"), *[v.alias(f) for f, v in features(F.col("k.x")).items()])
-    sample = stored(one.orderBy("h").limit(max_training), "private-training")
-    classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    half = F.pmod(F.xxhash64("h"), F.lit(2)) == 0
+    weighed = stored(one.groupBy("label", half.alias("half"), *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("w")), "private-training")
+    classes = {r["label"]: r["n"] for r in weighed.groupBy("label").agg(F.sum("w").alias("n")).collect()}  # two rows
     if len(classes) < 2 or min(classes.values()) < 5:
         return Chooser()
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    half = F.pmod(F.xxhash64("h"), F.lit(2)) == 0
-    train = data.filter(half)
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(weighed)
+    train = data.filter("half")
     if train.select("label").distinct().count() < 2:
         return Chooser()
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(train)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, weightCol="w").fit(train)
     chooser = Chooser(model)
     struct = F.struct(*[F.col(f) for f in FEATURES])
     values = [struct[f] for f in FEATURES]
     parts = [_tree(t._java_obj.rootNode(), values) * F.lit(float(w)) for t, w in zip(model.trees, model.treeWeights, strict=True)]
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * reduce(lambda a, b: a + b, parts)))
-    steps = data.filter(~half).groupBy(F.floor(p * 100).alias("step")).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect()  # at most 101 rows
+    steps = data.filter("not half").groupBy(F.floor(p * 100).alias("step")).agg(F.sum(F.col("label") * F.col("w")).alias("yes"), F.sum("w").alias("n")).orderBy(F.col("step").desc()).collect()  # at most 101 rows
     yes = total = 0.0
     for r in steps:
         yes, total = yes + r["yes"], total + r["n"]

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quantloom.llm import bpe, jaccard, language, licences, maxent, neardup, packing, private, topk, urls
@@ -323,3 +324,15 @@ def test_crc_matches_the_contract(spark):
 
     got = {r.doc_id: r.c for r in spark.range(50).withColumnRenamed("id", "doc_id").withColumn("c", crc_of("doc_id")).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) for k in got}
+
+
+def test_private_classifier_sees_every_candidate_once_by_weight(spark, monkeypatch):
+    """20,100 base spans and 12 failed matches: all are counted, as few distinct rows."""
+    seen = []
+    monkeypatch.setattr(private, "stored", lambda df, name: seen.append(df.cache()) or seen[-1])
+    good = " ".join(f"write a{i % 10}@b.org" for i in range(201))
+    df = spark.createDataFrame([(good,)] * 100 + [("at 999.1.1.1 now",)] * 12, "text string")
+    private.fit(df)
+    weights = {r["label"]: (r["n"], r["rows"]) for r in seen[0].groupBy("label").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    assert weights[1.0][0] == 20_100 and weights[0.0][0] == 12 and weights[1.0][1] <= 60
+    seen[0].unpersist()
