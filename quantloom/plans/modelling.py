@@ -40,15 +40,17 @@ def training_panel(spark, sf_dir) -> DataFrame:
     """Every listed feature (technical, lag, price, macro, sector, fundamental, sentiment, ranks) with labels, written once per session and scale."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        bars, series = tables.bars(spark, sf_dir), tables.macro(spark, sf_dir)
-        tech = technical.price_patterns(technical.technical(bars))
+        # each is read several times below: by the features, the calendar of news and ratios, sectors and macro columns
+        bars, series = training.stored(tables.bars(spark, sf_dir), "bars"), training.stored(tables.macro(spark, sf_dir), "macro")
+        cores = max(2, spark.sparkContext.defaultParallelism)  # few bytes, much work a row: coalescing by size would leave one task
+        tech = training.stored(technical.price_patterns(technical.technical(bars.repartition(cores, "ticker"))), "technical")
         fund = fundamentals.daily_static(bars, fundamentals.ratios(tables.fundamentals(spark, sf_dir)))
         articles = sentiment.lexicon_scores(sentiment.usable_articles(tables.market_news(spark, sf_dir)), FIXTURE_POSITIVE, FIXTURE_NEGATIVE)
         sent = sentiment.rolling_features(articles, bars)
         sector = market.sector_features(tech.select("ticker", "date", "returns"), tables.sector_map(spark, sf_dir), series)
         rows = market.attach_macro(panel.combined(tech, fund, sent), market.macro_features(market.macro_panel(series)))
         rows = rows.join(sector.select("ticker", "date", *SECTOR), ["ticker", "date"], "left")
-        rows = training.stored(rows, "features")  # the ranks look at their rows several times
+        rows = training.stored(rows.repartition(cores, "ticker", "date"), "features")  # the ranks look at their rows several times
         rows = labels.next_return(average_ranks(rows, ["date"], dict(zip(RANKED, CROSS_SECTION, strict=True)), pct=True)).withColumn("ret_1d", F.col("returns"))
         _stored[key] = training.stored(rows.dropna(subset=TECHNICAL), "panel")
     return _stored[key]

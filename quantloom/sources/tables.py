@@ -21,19 +21,32 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         "l_quantity",
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
     )
-    return _ohlcv(priced, F.sum("l_quantity").cast("long"))
+    return _ohlcv(priced, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.sum("l_quantity").cast("long"))
 
 
-def _ohlcv(priced: DataFrame, volume) -> DataFrame:
-    return priced.groupBy("ticker", "date").agg(
-        F.min_by("px", "k").alias("open"),
-        F.max("px").alias("high"),
-        F.min("px").alias("low"),
-        F.max_by("px", "k").alias("close"),
-        volume.alias("volume"),
+def _ohlcv(priced: DataFrame, order: list[str], volume) -> DataFrame:
+    """Bars of priced rows; open and close are the prices of the first and last row under ``order``, NULL first.
+
+    A struct has no fixed width, so aggregates over one sort every row of a task first. The first column of ``order`` alone is aggregated in a hash table;
+    only the rows at its two ends are compared on all columns.
+    """
+    first = order[0]
+    whole = F.count(first) == F.count(F.lit(1))
+    days = priced.groupBy("ticker", "date").agg(
+        F.when(whole, F.min(first)).alias("_lo"), F.max(first).alias("_hi"), F.max("px").alias("high"), F.min("px").alias("low"), volume.alias("volume")
     )
+    ends = days.select(F.col("ticker").alias("_ticker"), F.col("date").alias("_date"), "_lo", "_hi")
+    same_day = lambda df: F.col("ticker").eqNullSafe(df["_ticker"]) & F.col("date").eqNullSafe(df["_date"])
+    near = priced.join(ends, same_day(ends)).filter(F.col(first).eqNullSafe(F.col("_lo")) | F.col(first).eqNullSafe(F.col("_hi")))
+    k = F.struct(*order)
+    sides = near.groupBy("_ticker", "_date").agg(F.min_by("px", k).alias("open"), F.max_by("px", k).alias("close"))
+    return days.join(sides, same_day(sides)).select("ticker", "date", "open", "high", "low", "close", "volume")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +64,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = ticks(spark, sf_dir).select(
-        "ticker", F.col("ts").cast("date").alias("date"), F.col("value").alias("px"), F.struct("ts", "event_id").alias("k")
+        "ticker", F.col("ts").cast("date").alias("date"), F.col("value").alias("px"), "ts", "event_id"
     )
-    return _ohlcv(priced, F.count(F.lit(1)))
+    return _ohlcv(priced, ["ts", "event_id"], F.count(F.lit(1)))
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from quantloom.operators.ewm import ewm_mean, span_alpha
 from quantloom.operators.panel import combined
 from quantloom.operators.projections import signal
 from quantloom.functions.vocabulary import FUNDAMENTAL, LAG, SENTIMENT, TECHNICAL
+from quantloom.sources import tables
 
 
 def test_technical_against_pandas(walk):
@@ -140,3 +141,14 @@ def test_meta_label_nulls_count_as_down(spark):
     rows = [(0.1, 0.6), (-0.1, 0.6), (None, 0.4), (0.1, None)]
     out = [r["meta_label"] for r in labels.meta_label(spark.createDataFrame(rows, "ret_1d double, proba_primary double")).collect()]
     assert out == [1, 0, 1, 0]
+
+
+def test_first_and_last_price_under_the_whole_order(spark):
+    """Ties in the first key are settled by the next ones, NULL keys come first, NULL groups stay."""
+    d = dt.date(2024, 1, 1)
+    rows = [("A", d, 1.0, 5, 2), ("A", d, 2.0, 5, 1), ("A", d, 3.0, 9, 1), ("A", d, 4.0, 9, 2), ("A", d, 9.0, 7, 1), ("B", d, 1.0, None, 3), ("B", d, 2.0, None, 2), ("B", d, 3.0, 1, 1),
+            (None, None, 8.0, None, None)]
+    df = spark.createDataFrame(rows, "ticker string, date date, px double, a long, b int")
+    bars = tables._ohlcv(df, ["a", "b"], F.count(F.lit(1)))
+    got = {r["ticker"]: (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in bars.collect()}
+    assert got == {"A": (2.0, 9.0, 1.0, 4.0, 5), "B": (2.0, 3.0, 1.0, 3.0, 3), None: (8.0, 8.0, 8.0, 8.0, 1)}
