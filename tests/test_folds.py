@@ -78,3 +78,13 @@ def test_schemes_limits_and_errors(panel):
         folds.build(rows, ["a", "gone"], {"holdout": two})
     with pytest.raises(ValueError, match="tree learners"):
         m.fit(Spec("x", ("a",), (("logistic", {"C": 1.0}),)), "holdout#0")
+
+
+def test_a_fold_is_learnt_in_tasks_of_its_size(spark, monkeypatch):
+    """Nine files of rows make one task for a small fold, and more when the fold is larger; no row goes."""
+    rows = spark.range(900).repartition(9).selectExpr("id as ticker", "id as date", "cast(id % 2 as int) as target", "cast(id % 7 as short) as a", "array('s#0') as _train", "array('s#1') as _test")
+    m = folds.FoldMatrix(rows, "target", ("a",), {"s#0": (900, 0), "s#1": (0, 900)}, {"s#0": 1.0, "s#1": 1.0}, {})
+    assert m.part("train", "s#0", ["a"]).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(folds, "TASK_ROWS", 300)
+    part = m.part("test", "s#1", ["a"])
+    assert part.rdd.getNumPartitions() == 3 and part.count() == 900
