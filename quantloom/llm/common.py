@@ -48,6 +48,17 @@ def give_back() -> None:
         pass
 
 
+def trimmed(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``work`` on a group, and ``give_back`` of what it held."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = work(group)
+        give_back()
+        return out
+
+    return run
+
+
 Make = Callable[[], Callable[[pa.RecordBatch], list]]
 
 

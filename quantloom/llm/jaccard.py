@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import components, crc32_text, forest, slices, spread_join, stored, text_bytes
+from quantloom.llm.common import components, crc32_text, forest, give_back, slices, spread_join, stored, text_bytes, trimmed
 from quantloom.llm.words import shingles, word_hashes
 
 SHARE = 0.4  # of the hash range that every class posts
@@ -96,6 +96,8 @@ def _post(rows: DataFrame, width: int, percent: int, buckets: int, share: float)
                     cls, sizes, posted, docs, seen, total = [], [], [], [], set(), 0
         if docs:
             yield flush(cls, sizes, posted, docs, turn)
+        cls, sizes, posted, docs, seen = [], [], [], [], set()
+        give_back()
 
     return rows.mapInArrow(run, "bucket int, classes binary, sizes binary, keys binary, at binary, docs binary")
 
@@ -149,7 +151,7 @@ def _count(posts: DataFrame, groups: int, share: float) -> DataFrame:
                     x.append(v)
         return pa.Table.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(x, pa.binary()) for x in out[1:]], names=["g", "classes", "sizes", "own", "p_class", "p_key", "p_df"])
 
-    return posts.groupBy("bucket").applyInArrow(bucket, "g int, classes binary, sizes binary, own binary, p_class binary, p_key binary, p_df binary")
+    return posts.groupBy("bucket").applyInArrow(trimmed(bucket), "g int, classes binary, sizes binary, own binary, p_class binary, p_key binary, p_df binary")
 
 
 def _prefixes(counted: DataFrame, percent: int, share: float) -> DataFrame:
@@ -173,7 +175,7 @@ def _prefixes(counted: DataFrame, percent: int, share: float) -> DataFrame:
         key, at, pos = key[keep], at[keep], pos[keep]
         return pa.Table.from_arrays([pa.array(key.view(np.int64)), pa.array(names[at]), pa.array(n[at].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "cls", "n", "pos"])
 
-    return counted.groupBy("g").applyInArrow(group, "key long, cls long, n int, pos int")
+    return counted.groupBy("g").applyInArrow(trimmed(group), "key long, cls long, n int, pos int")
 
 
 def _fits(a: str, b: str, percent: int):
@@ -228,6 +230,7 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
                 same = (r["band"], r["sub"]) == (r["b_band"], r["b_sub"])
                 a, b = _between(r["items"], r["b_items"], same, r["lead_n"], percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        give_back()
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
@@ -270,7 +273,7 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", pe
     volume = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0  # one row
     buckets = max(1, -(-int(volume) // BUCKET_BYTES))
     both = stored(_count(_post(rows, width, percent, buckets, share), buckets, share), "jaccard-counted")
-    members = _documents(both.filter("g = -1"))
+    members = stored(_documents(both.filter("g = -1").select("classes")), "jaccard-members")  # four steps read it; the packed postings beside it are read once
     prefixes = stored(_prefixes(both.filter("g >= 0"), percent, share), "jaccard-prefixes")
     lists = prefixes.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "size", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"))
     led = stored(prefixes.join(lists, "key"), "jaccard-lists")
@@ -282,6 +285,8 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", pe
         for batch in batches:
             packed = [x.tobytes() for x in sets_of(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(packed, pa.binary())], names=["cls", "words"])
+        packed = []
+        give_back()
 
     words = stored(whole.select("cls", "text").mapInArrow(sets, "cls long, words binary"), "jaccard-sets")
     first = led.filter("cls <> lead").filter(_fits("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
@@ -311,6 +316,7 @@ def _documents(passed: DataFrame) -> DataFrame:
             for x in batch.column("classes").to_pylist():
                 d = np.frombuffer(x, np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(d[:, 2].astype(np.int32))], names=["doc_id", "cls", "n"])
+        give_back()
 
     return passed.mapInArrow(run, "doc_id long, cls long, n int")
 

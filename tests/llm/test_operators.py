@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quantloom.llm import bpe, jaccard, language, licences, maxent, neardup, packing, private, topk, urls
+from quantloom.llm import bpe, common, jaccard, language, licences, maxent, neardup, packing, private, topk, urls
 
 EN = "the quick brown fox jumps over the lazy dog while the old man reads his morning paper near the river "
 FR = "le petit chat noir dort sur la chaise pendant que la vieille dame lit son journal dans le jardin "
@@ -195,6 +196,19 @@ def test_deduplication_leaves_one_row_of_each_group(spark, empty):
     assert jaccard.deduplicated(empty).count() == 0
 
 
+def test_jaccard_gives_memory_back(docs, monkeypatch):
+    """Every Python step over documents or their sets, the packed documents read alone and once."""
+    given, kept = [], []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    table = pa.table({"x": [1]})
+    assert common.trimmed(lambda t: t)(table) is table and given == [1]
+    store = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: kept.append(name) or store(df, name))
+    monkeypatch.setattr(jaccard, "_documents", lambda passed, read=jaccard._documents: kept.append(tuple(passed.columns)) or read(passed))
+    jaccard.components_of(docs)
+    assert kept.count(("classes",)) == 1 and kept.count("jaccard-members") == 1
+
+
 def test_jaccard_compares_members_of_one_leader():
     """Two sets far from their leader but near each other are linked on their sets."""
     a, b = np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)
