@@ -27,6 +27,7 @@ from quantloom.functions.safe import col
 MAX_GROUP_ROWS = 4_000_000
 FAN = 64  # splitters are searched in two steps of this width, so there are at most its square
 SAMPLE = 16  # sampled rows per block at most
+WINDOWED = 3  # columns that are ranked by windows over whole rows; each takes two sorts, which are held in one task
 _BLOCK = "_order_block"
 _DIGIT = 16  # bits of an image that one pass of the quantile selection settles
 
@@ -155,6 +156,8 @@ def with_position(df: DataFrame, by: Sequence[str], order: Sequence[Column], pos
 
 
 def _plain_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], pct: bool) -> DataFrame:
+    if len(columns) > WINDOWED and len({df.schema[c].dataType for c in columns}) == 1:
+        return _narrow_ranks(df, by, columns, pct)
     out = []
     for source, name in columns.items():
         value = F.col(source)
@@ -167,6 +170,20 @@ def _plain_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], p
     return df.select("*", *out)
 
 
+def _narrow_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], pct: bool) -> DataFrame:
+    """Ranks of many columns of one type in one sort of narrow rows, whatever their number; equal rows of (group, values) have equal ranks and meet them by an equi-join."""
+    keys = [*by, *columns]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    pairs = [F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)]
+    long = counts.select(*keys, "_c", F.explode(F.array(*pairs)).alias("_x")).select(*keys, "_c", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v")).filter(F.col("_v").isNotNull())
+    total = lambda *w: F.sum("_c").over(Window.partitionBy(*by, "_i", *w))
+    ties, upto = total("_v"), F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v"))  # its frame ends with the last equal value
+    rank = upto - ties + (ties + 1) / F.lit(2.0)
+    ranked = long.select(*keys, "_i", (rank / total() if pct else rank).alias("_r"))
+    one = ranked.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(*[F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(name) for i, name in enumerate(columns.values())])
+    return df.join(one, _same(keys), "left").select(*df.columns, *columns.values())
+
+
 def _split_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], pct: bool, max_group_rows: int) -> DataFrame:
     """Ties share one rank, so distinct values are ranked: a hot value collapses before the shuffle. Values keep their own type."""
     out = df

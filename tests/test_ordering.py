@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.operators import ordering
 from quantloom.operators.ordering import average_ranks, exact_quantiles, running_sums, with_position
 from quantloom.operators.splits import row_fraction
 from quantloom.operators.metrics import ranking_quality, strategy_evaluation
@@ -204,3 +205,29 @@ def test_quantile_passes_do_not_depend_on_columns_and_probabilities(spark):
     one = exact_quantiles(df, ["c0"], {"m": 0.5})
     many = exact_quantiles(df, [f"c{k}" for k in range(6)], {f"p{i}": i / 40 for i in range(41)})
     assert windows(one) == windows(many) == 5  # one for the size of the group
+
+
+@pytest.mark.parametrize("pct", [False, True])
+def test_ranks_of_many_columns(spark, pct):
+    """Ranked together, columns get what each gets alone: with repeated rows, NULL, NaN, signed zeros and a NULL group."""
+    rng = np.random.default_rng(5)
+    pick = lambda: [None, float("nan"), -0.0, 0.0, 1.0, 2.5][rng.integers(0, 6)]
+    names = [f"c{i}" for i in range(5)]
+    data = [(None if k % 9 == 0 else "ab"[k % 2], *[pick() for _ in names], k // 2) for k in range(60)]
+    data += data[:7] + [("a", *[None] * 5, 99)] * 2
+    df = spark.createDataFrame(data, "g string, " + ", ".join(f"{c} double" for c in names) + ", k int")
+    together = average_ranks(df, ["g"], {c: f"{c}_r" for c in names}, pct=pct).collect()
+    assert list(together[0].asDict()) == [*df.columns, *[f"{c}_r" for c in names]]
+    plain = lambda rows, c: sorted(str((*r[: len(df.columns)], r[f"{c}_r"])).replace("-0.0", "0.0") for r in rows)
+    for c in names:
+        assert plain(together, c) == plain(ordering._plain_ranks(df, ["g"], {c: f"{c}_r"}, pct).collect(), c)
+
+
+def test_sorts_do_not_follow_the_number_of_ranked_columns(spark):
+    names = [f"c{i}" for i in range(12)]
+    df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"), *[((F.col("id") * (i + 3)) % 7).cast("double").alias(c) for i, c in enumerate(names)])
+    sorts = []
+    for n in (4, 12):
+        out = ordering._plain_ranks(df, ["g"], {c: f"{c}_r" for c in names[:n]}, True)
+        sorts.append(out._jdf.queryExecution().executedPlan().toString().count("Sort ["))
+    assert sorts[0] == sorts[1] <= 4, sorts
