@@ -40,6 +40,10 @@ def crc32_text(value: str) -> int:
 
 def give_back() -> None:
     """Return freed memory to the system at the end of a task: the Python worker stays, and other stages and the JVM share its executor."""
+    _trim()
+
+
+def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -48,10 +52,23 @@ def give_back() -> None:
         pass
 
 
+#: What an operator keeps in a Python worker from task to task. The worker outlives the stage, so tasks that work in large arrays empty it.
+KEPT: list[dict] = []
+
+
+def make_room() -> None:
+    """Forget what tasks of other operators left in this worker."""
+    if any(KEPT):
+        for cache in KEPT:
+            cache.clear()
+        _trim()
+
+
 def trimmed(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """``work`` on a group, and ``give_back`` of what it held."""
 
     def run(group: pa.Table) -> pa.Table:
+        make_room()
         out = work(group)
         give_back()
         return out
@@ -76,6 +93,7 @@ def annotate(df: DataFrame, fields: Sequence[T.StructField], make: Make) -> Data
         for batch in batches:
             new = work(batch)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + new, names=[f.name for f in schema])
+            batch = new = None  # not held while the next one is read
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import components, crc32_text, forest, give_back, slices, spread_join, stored, text_bytes, trimmed
+from quantloom.llm.common import components, crc32_text, forest, give_back, make_room, slices, spread_join, stored, text_bytes, trimmed
 from quantloom.llm.words import shingles, word_hashes
 
 SHARE = 0.4  # of the hash range that every class posts
-BUCKET_BYTES = 20 << 20  # of text for each bucket of the hash range
-FLUSH = 1_000_000  # postings a task gathers before it hands over
+BUCKET_BYTES = 12 << 20  # of text for each bucket of the hash range
+FLUSH = 400_000  # postings a task gathers before it hands over
+SLICE = 1 << 18  # bytes of text worked on at a time; a byte takes some 50 on its way to the shingles
 LIST_BLOCK = 256
 PAIRS = 2000  # that one group compares
 
@@ -44,7 +45,7 @@ def prefix_length(n, percent: int):
 def sets_of(column: pa.Array, width: int):
     """Sorted shingle sets of a batch of texts."""
     raw, offs = text_bytes(column)
-    for s, e in slices(offs):
+    for s, e in slices(offs, SLICE):
         h, at = word_hashes(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])
         for i in range(e - s):
             yield shingles(h[at[i] : at[i + 1]], width)
@@ -75,6 +76,7 @@ def _post(rows: DataFrame, width: int, percent: int, buckets: int, share: float)
         return pa.RecordBatch.from_arrays([pa.array(blobs[0], pa.int32())] + [pa.array(x, pa.binary()) for x in blobs[1:]], names=names)
 
     def run(batches):
+        make_room()
         cls: list = []
         sizes: list = []
         posted: list = []
@@ -94,6 +96,7 @@ def _post(rows: DataFrame, width: int, percent: int, buckets: int, share: float)
                 if total >= FLUSH or len(docs) >= FLUSH:
                     yield flush(cls, sizes, posted, docs, turn)
                     cls, sizes, posted, docs, seen, total = [], [], [], [], set(), 0
+            batch = one = None  # not held while the next one is read
         if docs:
             yield flush(cls, sizes, posted, docs, turn)
         cls, sizes, posted, docs, seen = [], [], [], [], set()
@@ -282,10 +285,11 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", pe
     whole = rows.select("doc_id", "text", F.col("cls").alias("_c")).join(reps, "doc_id").filter("_c = cls").dropDuplicates(["cls"])
 
     def sets(batches):
+        make_room()
         for batch in batches:
             packed = [x.tobytes() for x in sets_of(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(packed, pa.binary())], names=["cls", "words"])
-        packed = []
+            batch = packed = None  # not held while the next one is read
         give_back()
 
     words = stored(whole.select("cls", "text").mapInArrow(sets, "cls long, words binary"), "jaccard-sets")

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import annotate, give_back, mix, slices, text_bytes
+from quantloom.llm.common import annotate, give_back, make_room, mix, slices, text_bytes
 
 GRAM_BITS = 22  # n-grams are 4 bytes of lower-case UTF-8, hashed to so many bits
 HASHES = 3
-HELD_GRAMS = 2_000_000  # distinct n-grams with counts that a task keeps
+HELD_GRAMS = 1_000_000  # distinct n-grams with counts that a task keeps
 SPACE = 0x20
 LEAST_GRAMS, LEAST_ROWS = 50, 100
 SLICE = 1 << 18  # bytes of text worked on at a time; an n-gram takes some 60 bytes on its way
@@ -106,15 +106,15 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
     schema = "lang string, gram int, n long"
 
     def count(batches):
+        make_room()
         tally: dict[str, list] = {}  # per language distinct n-grams with counts, from several slices
         held = 0
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            low = _lower(batch.column("text"))
             for name in set(langs.tolist()):
-                raw, offs = text_bytes(low.filter(pa.array(langs == name)))
-                for s, e in slices(offs, SLICE):
-                    found = np.unique(grams(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])[0], return_counts=True)
+                mine = batch.column("text").filter(pa.array(langs == name))
+                for s, e in slices(text_bytes(mine)[1], SLICE):
+                    found = np.unique(grams(*text_bytes(_lower(mine.slice(s, e - s))))[0], return_counts=True)
                     tally.setdefault(name, []).append(found)
                     held += len(found[0])
                     if held > HELD_GRAMS:
@@ -123,6 +123,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
                         if held > HELD_GRAMS // 2:  # too many languages or n-grams: hand over and start again
                             yield from _rows(tally)
                             tally, held = {}, 0
+            batch = mine = None  # not held while the next one is read
         yield from _rows(tally)
         del tally
         give_back()
@@ -210,16 +211,16 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^20 slots per 64 languages
 
     def make():
+        make_room()
         m = shared.value
 
         def work(batch):
             column = batch.column(text)
-            raw, offs = text_bytes(_lower(column))
             names, scores, covered, counted = [], [], [], []
             ascii_letter = np.zeros(256, bool)
             ascii_letter[ord("a") : ord("z") + 1] = True
-            for s, e in slices(offs, SLICE):
-                part, po = raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s]
+            for s, e in slices(text_bytes(column)[1], SLICE):
+                part, po = text_bytes(_lower(column.slice(s, e - s)))
                 seen = np.concatenate(([0], np.cumsum(ascii_letter[part])))
                 letters = (seen[po[1:]] - seen[po[:-1]]) > 0
                 c, n = language_counts(m, part, po) if m.langs else (np.zeros((e - s, 1)), np.zeros(e - s))

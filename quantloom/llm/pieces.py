@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 
+from quantloom.llm.common import KEPT
 from quantloom.llm.ranks import Ranks
 
 MEMO = 450_000  # pieces a Python worker remembers; cleared when full
@@ -15,6 +16,7 @@ LONG = 64  # pieces above so many characters are not remembered
 SEEN = 1 << 23  # flags of the filter that tells pieces met before from new ones; only those are remembered
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _CODERS: dict[tuple, object] = {}
+KEPT.append(_CODERS)
 
 
 def load(path: str):

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quantloom.llm import bpe, common, jaccard, language, licences, maxent, neardup, packing, private, topk, urls
+from quantloom.llm import bpe, common, jaccard, language, licences, maxent, neardup, packing, pieces, private, topk, urls
 
 EN = "the quick brown fox jumps over the lazy dog while the old man reads his morning paper near the river "
 FR = "le petit chat noir dort sur la chaise pendant que la vieille dame lit son journal dans le jardin "
@@ -209,6 +209,27 @@ def test_jaccard_gives_memory_back(docs, monkeypatch):
     assert kept.count(("classes",)) == 1 and kept.count("jaccard-members") == 1
 
 
+def test_tasks_begin_with_room():
+    """Tokenizers that packing left in a worker go before sets are compared; packing loads them again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = pieces.coder(path, spaced=True, ranks=True)
+    assert pieces.coder(path, spaced=True, ranks=True) is first
+    table = pa.table({"x": [1]})
+    assert common.trimmed(lambda t: t)(table) is table and not pieces._CODERS
+    assert pieces.coder(path, spaced=True, ranks=True).encode([EN]) == first.encode([EN])
+
+
+def test_jaccard_works_on_small_slices(monkeypatch):
+    """Shingles of a large batch come from slices of bounded bytes, whole texts each, and are those of the texts alone."""
+    texts = [f"{k} {EN * (k % 30)}" for k in range(1500)] + [EN * 4000, None, ""]
+    alone = [list(jaccard.sets_of(pa.array([t], pa.string()), 5))[0] for t in texts]
+    seen, hashes = [], jaccard.word_hashes
+    monkeypatch.setattr(jaccard, "word_hashes", lambda raw, offsets: seen.append((len(raw), len(offsets) - 1)) or hashes(raw, offsets))
+    together = list(jaccard.sets_of(pa.array(texts, pa.string()), 5))
+    assert len(together) == len(texts) and all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+    assert sum(n for n, _ in seen) > 2 << 20 and all(n <= 1 << 18 or rows == 1 for n, rows in seen)
+
+
 def test_jaccard_compares_members_of_one_leader():
     """Two sets far from their leader but near each other are linked on their sets."""
     a, b = np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)
