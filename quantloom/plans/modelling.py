@@ -265,7 +265,7 @@ def training_run(spark, sf_dir):
 @query("feature_importances", "D16 Q9")
 def feature_importances(spark, sf_dir):
     part = roles(spark, sf_dir)
-    spec = fewer_trees(FOREST.with_features(TECHNICAL + LAG + PRICE + FUNDAMENTAL + SENTIMENT))
+    spec = FOREST.with_features(TECHNICAL + LAG + PRICE + FUNDAMENTAL + SENTIMENT)
     return training.fit(spec, part["train"]).importances(spark).orderBy(F.col("importance").desc(), "feature").limit(20)
 
 
