@@ -2,7 +2,7 @@
 
 import pytest
 
-from quantloom.models.specs import FOREST
+from quantloom.models.specs import ABLATION_STEPS, FOREST
 from quantloom.plans import modelling
 from quantloom.plans.catalog import ENTRIES
 
@@ -25,3 +25,14 @@ def parts_asked(spark, monkeypatch, name):
 
 def test_feature_importances_grows_all_trees(spark, monkeypatch):
     assert parts_asked(spark, monkeypatch, "feature_importances") == FOREST.parts
+
+
+def test_research_cv_summary_grows_all_trees(spark, monkeypatch):
+    monkeypatch.setattr(modelling, "training_panel", lambda spark, sf_dir: spark.createDataFrame([], "date date"))
+    monkeypatch.setattr(modelling.splits, "research_schemes", lambda dates: {})
+    monkeypatch.setattr(modelling.folds, "build", lambda *what: None)
+    monkeypatch.setattr(modelling.folds, "scores", asked)
+    with pytest.raises(Asked) as seen:
+        ENTRIES["research_cv_summary"].run(spark, "nowhere")
+    _, groups, spec = seen.value.args[0]
+    assert groups == ABLATION_STEPS and spec == FOREST
