@@ -36,3 +36,21 @@ def test_research_cv_summary_grows_all_trees(spark, monkeypatch):
         ENTRIES["research_cv_summary"].run(spark, "nowhere")
     _, groups, spec = seen.value.args[0]
     assert groups == ABLATION_STEPS and spec == FOREST
+
+
+def test_research_run_shortens_nothing(spark, monkeypatch):
+    """The study gets its own models (the principal-component one among them), groups and number of draws, and fits of whole specs."""
+    import inspect
+
+    study = inspect.signature(modelling.workflows.research_run)
+    monkeypatch.setattr(modelling, "training_panel", lambda spark, sf_dir: "panel")
+    monkeypatch.setattr(modelling, "cv_scores", lambda spark, sf_dir: "scores")
+    monkeypatch.setattr(modelling.workflows, "research_run", asked)
+    with pytest.raises(Asked) as seen:
+        ENTRIES["research_run"].run(spark, "nowhere")
+    what, named = seen.value.args
+    got = study.bind(*what, **named)
+    got.apply_defaults()
+    whole = study.bind("panel", cv="scores")
+    whole.apply_defaults()
+    assert got.arguments == whole.arguments
