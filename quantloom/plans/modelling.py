@@ -79,7 +79,7 @@ def _model_query(model_id, ids):
     @query(f"score_{model_id}", ids)
     def run(spark, sf_dir):
         part = roles(spark, sf_dir)
-        return training.fit(light(model_id), part["train"]).score(part["test"]).select("ticker", "date", "target", "probability")
+        return training.fit(spec_of(model_id), part["train"]).score(part["test"]).select("ticker", "date", "target", "probability")
 
     return run
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quantloom.models.specs import ABLATION_STEPS, FOREST
+from quantloom.models.specs import ABLATION_STEPS, FOREST, SPECS
 from quantloom.plans import modelling
 from quantloom.plans.catalog import ENTRIES
 
@@ -54,3 +54,8 @@ def test_research_run_shortens_nothing(spark, monkeypatch):
     whole = study.bind("panel", cv="scores")
     whole.apply_defaults()
     assert got.arguments == whole.arguments
+
+
+@pytest.mark.parametrize("model", SPECS)
+def test_score_queries_run_all_rounds(spark, monkeypatch, model):
+    assert parts_asked(spark, monkeypatch, f"score_{model}") == SPECS[model].parts
