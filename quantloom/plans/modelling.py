@@ -305,7 +305,7 @@ def model_score_invariants(spark, sf_dir):
 def _explained(spark, sf_dir):
     """A boosted model over all technical features, the newest row of every ticker and the background rows."""
     part = roles(spark, sf_dir)
-    model = training.fit(light("model_a"), part["train"])
+    model = training.fit(spec_of("model_a"), part["train"])
     return model, technical.latest_indicators(part["test"], list(model.spec.features)), part["train"]
 
 

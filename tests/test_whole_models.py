@@ -63,3 +63,8 @@ def test_score_queries_run_all_rounds(spark, monkeypatch, model):
 
 def test_training_run_runs_all_rounds(spark, monkeypatch):
     assert parts_asked(spark, monkeypatch, "training_run") == SPECS["model_b"].parts
+
+
+@pytest.mark.parametrize("name", ["tree_attributions", "tree_attribution_sums", "tree_base_value"])
+def test_attributions_explain_the_whole_model(spark, monkeypatch, name):
+    assert parts_asked(spark, monkeypatch, name) == SPECS["model_a"].parts
