@@ -110,6 +110,32 @@ def test_near_vectors(spark, vecs):
     assert neardup.near_duplicates(df.limit(0), 0.95).count() == 0
 
 
+def test_near_vectors_over_many_tiles(spark, monkeypatch):
+    """Cells of several tiles, repeated identifiers and vectors, zeros of both signs; tasks that sum what they gathered again and again."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    monkeypatch.setattr(neardup, "HELD", 6)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(30, 4))
+    many = {i: [float(x) for x in base[i % 30] + 0.02 * rng.normal(size=4)] for i in range(120)}
+    many |= {200 + i: many[3] for i in range(20)} | {300: [0.0, 1.0, 0.0, -1.0], 301: [-0.0, 1.0, 0.0, -1.0]}
+    df = spark.createDataFrame([*many.items(), (3, many[3]), (None, many[3])], "vec_id long, embedding array<double>")
+    rows = [tuple(r) for r in neardup.near_duplicates(df, 0.95).collect()]
+    links = brute_links(many, 0.95)
+    count, root = Counter(x for p in links for x in p), roots(many, links)
+    near3 = {x for p in links if 3 in p for x in p}
+    want = [(k, count[k] + (k in near3), root[k], root[k] == k) for k in many]
+    assert sorted(rows) == sorted([*want, next(w for w in want if w[0] == 3)])
+
+
+def test_pairs_of_tiles_are_not_shuffled(spark):
+    tiles = spark.createDataFrame([(2, [0, 0, k % 5], k, b"", b"", b"") for k in range(40)], "dim int, cell array<int>, sub int, ids binary, sizes binary, plain binary")
+    pairs = neardup._pairs(tiles)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    near = lambda a, b: abs(a % 5 - b % 5) <= 1
+    assert pairs.count() == sum(near(a, b) for a in range(40) for b in range(a + 1)) and pairs.filter("same").count() == 40
+
+
 def test_top_k(spark, vecs):
     from pyspark.sql import functions as F
 
